@@ -6,20 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_frequency, simhash_variants
+from . import dominance_packing, huffman_ids, line_frequency, simhash_variants, substring_dedup
 from .common import table
 
 
+def op1_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_variants.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, code = huffman_ids.write_ids(table(spark, sf_dir, "documents"))
+    return huffman_ids.read_ids(blocks, code, with_ids=False)
+
+
+def op6_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance_packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_variants, op10_line_frequency)}
+    return {f.__name__: f for f in (op1_fm_substring_dedup, op4_simhash_variants, op5_huffman_ids, op6_dominance_packing, op10_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
