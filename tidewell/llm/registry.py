@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dominance_packing, huffman_ids, line_frequency, simhash_variants, substring_dedup
+from . import dominance_packing, guess_cost, huffman_ids, line_frequency, prefix_forest, quality_qda, simhash_variants, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
 
 
+def op2_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_variants.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -27,12 +31,27 @@ def op6_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance_packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guess_cost.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_rules(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_fm_substring_dedup, op2_qda_quality, op4_simhash_variants, op5_huffman_ids, op6_dominance_packing,
+    op7_guess_cost_secrets, op8_prefix_forest, op10_line_frequency,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fm_substring_dedup, op4_simhash_variants, op5_huffman_ids, op6_dominance_packing, op10_line_frequency)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -71,6 +71,7 @@ class Words:
         edge = np.diff(gap.astype(np.int8), prepend=1)
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         self.hash = _spans(joined.astype(np.uint64) + np.uint64(1), starts, ends, _R)
+        self.size = ends - starts
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(starts, begin)
 
