@@ -151,6 +151,27 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
 
 
+def _passed(model: Discriminant):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode() if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            scores = [model.score(statistics(texts[a:b])) for a, b in _grouped([len(t) for t in texts])]
+            good = np.concatenate(scores) >= 0.5 if scores else np.zeros(0, dtype=bool)
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            yield own.filter(pa.array(good))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that the classifier predicts to be good, unchanged."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    measured = rows.where(~held_out()).join(known, "doc_id", "left_semi").mapInArrow(_measured, "doc_id long, x array<double>")
+    model = fit(stored(measured.select("doc_id", held_out(), "x"), "statistics"), labels)
+    return docs.select("*", text_of().alias("_text_to_score")).mapInArrow(_passed(model), docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dominance_packing, guess_cost, huffman_ids, line_frequency, prefix_forest, quality_qda, simhash_variants, substring_dedup
+from . import disclosure, dominance_packing, guess_cost, huffman_ids, line_frequency, prefix_forest, quality_qda, simhash_variants, soft_mixing, substring_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digest(disclosure.personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_variants.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -40,13 +44,17 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = (
-    op1_fm_substring_dedup, op2_qda_quality, op4_simhash_variants, op5_huffman_ids, op6_dominance_packing,
-    op7_guess_cost_secrets, op8_prefix_forest, op10_line_frequency,
+    op1_fm_substring_dedup, op2_qda_quality, op3_disclosure_pii, op4_simhash_variants, op5_huffman_ids, op6_dominance_packing,
+    op7_guess_cost_secrets, op8_prefix_forest, op9_soft_mixing, op10_line_frequency,
 )
 
 

@@ -138,3 +138,13 @@ def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = placed.join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_firsts(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+    """The rows of `docs` that stand for their group: one row with the group's smallest doc_id.
+
+    Rows without a doc_id can't be named and stay as they are.
+    """
+    heads = near_duplicates(docs.where("doc_id IS NOT NULL"), hot_key).select(F.col("component_id").alias("doc_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
