@@ -21,8 +21,12 @@ class Bits:
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones in front of each place."""
-        word, off = at >> 6, (at & 63).astype(np.uint64)
-        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << off) - np.uint64(1)))
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[at & 63])
+
+
+#: For each bit of a word, the bits below it.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletMatrix:
@@ -37,33 +41,42 @@ class WaveletMatrix:
             self.rows.append((row, len(values) - row.ones))
             values = np.concatenate([values[~bit], values[bit]])
 
+        self.begin = self._down(np.arange(size), np.zeros(size, dtype=np.int64))
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the places `at` (a row of symbols, or several) come to on the way of their symbol."""
+        for level, (row, zeros) in zip(reversed(range(self.levels)), self.rows):
+            ones = row.rank(at)
+            at = np.where((symbol >> level & 1).astype(bool), ones + zeros, at - ones)
+        return at
+
     def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many of `symbol` stand in front of `low`, and of `high`."""
-        first = np.zeros_like(low)
-        for level, (row, zeros) in zip(reversed(range(self.levels)), self.rows):
-            bit = (symbol >> level & 1).astype(bool)
-            ones = [row.rank(x) for x in (first, low, high)]
-            first, low, high = (np.where(bit, zeros + o, x - o) for o, x in zip(ones, (first, low, high)))
-        return low - first, high - first
+        low, high = self._down(symbol, np.stack([low, high])) - self.begin[symbol]
+        return low, high
 
 
 def suffix_order(values: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first `depth` symbols at least (prefix doubling)."""
     n = len(values)
     rank = values.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    step = 1
+    size, step = int(rank.max()) + 2, 1
+    # As many symbols as a 64-bit number holds make up the first rank.
+    while size ** (step + 1) < 1 << 62 and step < min(depth, n):
+        shifted = np.zeros(n, dtype=np.int64)
+        shifted[: n - step] = values[step:] + 1
+        rank, step = rank * size + shifted, step + 1
     while True:
-        follow = np.zeros(n, dtype=np.int64)
-        follow[: n - step] = rank[step:] + 1 if step < n else 0
-        both = rank * (int(rank.max()) + 2) + follow
-        order = np.argsort(both, kind="stable")
-        ranked = both[order]
+        order = np.argsort(rank)
+        ranked = rank[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
-        rank, step = new, step * 2
-        if step >= depth or rank[order[-1]] == n - 1 or step >= n:
+        top = int(new[order[-1]])
+        if step >= depth or top == n - 1 or step >= n:
             return order
+        follow = np.zeros(n, dtype=np.int64)
+        follow[: n - step] = new[step:] + 1
+        rank, step = new * (top + 2) + follow, step * 2
 
 
 class FMIndex:
