@@ -9,6 +9,7 @@ library and kept, and the ids of a text are those of its units in order.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -16,6 +17,8 @@ import numpy as np
 
 #: Units in each of the two generations of a worker's cache: when the younger one is full the older one goes.
 CACHE_UNITS = 450_000
+#: A space that a blank or the text's end follows: the unit in front goes on.
+_DOUBLE = re.compile(r" (?:\s|\Z)")
 _TAIL = "\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~!"
 
 
@@ -30,41 +33,41 @@ class UnitEncoder:
         self.cache_units = cache_units
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     @staticmethod
     def units(text: str) -> list[str]:
+        """The first unit, and the others without the space that each of them starts with."""
         parts = text.split(" ")
-        out = [parts[0]] if parts[0] else []
-        if "" not in parts and not any(p[0].isspace() for p in parts):
-            out.extend([" " + p for p in parts[1:]])
-            return out
+        if not _DOUBLE.search(text):
+            return parts
+        out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace():
-                out.append(" " + p)
-            elif out:
-                out[-1] += " " + p
+                out.append(p)
             else:
-                out.append(" " + p)
+                out[-1] += " " + p
         return out
 
     def _learn(self, new: list[str]) -> None:
-        """Encode units that are not kept yet: those without inner blanks together, parted by line breaks."""
-        plain = [u for u in new if u[1:] and u[1:].split() == [u[1:]] and (u[0] == " " or not u[0].isspace())] if len(self.break_id) == 1 else []
+        """Encode units (with their space) that are not kept yet: those without inner blanks together, parted by line breaks."""
+        plain = [u for u in new if u.split() == [u]] if len(self.break_id) == 1 else []
         odd = set(new).difference(plain)
         for at in range(0, len(plain), 256):
             group = plain[at : at + 256]
-            ids = np.array(self.library.encode("\n".join(group), add_special_tokens=False).ids, dtype="<u2")
+            ids = np.array(self.library.encode(" " + "\n ".join(group), add_special_tokens=False).ids, dtype="<u2")
             cuts = np.flatnonzero(ids == self.break_id[0])
             if len(cuts) != len(group) - 1:  # a unit's own ids hold the break's
                 odd.update(group)
                 continue
-            for unit, a, b in zip(group, chain([0], cuts + 1), chain(cuts, [len(ids)])):
-                self.kept[unit] = ids[a:b].tobytes()
+            raw, ends = ids.tobytes(), (cuts * 2).tolist()
+            for unit, a, b in zip(group, chain([0], (e + 2 for e in ends)), chain(ends, [len(raw)])):
+                self.kept[unit] = raw[a:b]
         for unit in odd:
-            self.kept[unit] = self.whole(unit)
+            self.kept[unit] = self.whole(" " + unit)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian unsigned 16-bit integers."""
@@ -75,37 +78,40 @@ class UnitEncoder:
         stems: dict[str, tuple[str, str]] = {}
         new: set[str] = set()
         for text in texts:
-            if not text:
-                split.append([])
-                continue
-            if any(s in text for s in self.special):
+            if not text or any(s in text for s in self.special):
                 split.append(None)
                 continue
             units = self.units(text)
             split.append(units)
-            for unit in units:
-                if unit in kept or unit in new or unit in stems:
+            for unit in [u for u in units[1:] if u not in kept]:
+                if unit in new or unit in stems:
                     continue
                 if unit in older:
                     kept[unit] = older[unit]
+                    continue
+                stem = unit.rstrip(_TAIL)
+                if stem and len(stem) < len(unit) and stem[-1].isalpha():
+                    stems[unit] = (stem, unit[len(stem) :])
+                    if stem in older:
+                        kept[stem] = older[stem]
+                    elif stem not in kept:
+                        new.add(stem)
                 else:
-                    stem = unit.rstrip(_TAIL)
-                    if len(stem) > 1 and len(stem) < len(unit) and stem[-1].isalpha():
-                        tail = unit[len(stem) :]
-                        stems[unit] = (stem, tail)
-                        for x in (stem, tail):
-                            if x in older:
-                                kept[x] = older[x]
-                            elif x not in kept:
-                                new.add(x)
-                    else:
-                        new.add(unit)
+                    new.add(unit)
         if new:
             self._learn(list(new))
         for unit, (stem, tail) in stems.items():
-            kept[unit] = kept[stem] + kept[tail]
+            kept[unit] = kept[stem] + self._tail(tail)
         get = kept.__getitem__
-        return [self.whole(text) if units is None else b"".join(map(get, units)) for text, units in zip(texts, split)]
+        return [(self.whole(text) if text else b"") if units is None else self._tail(units[0]) + b"".join(map(get, units[1:])) for text, units in zip(texts, split)]
+
+    def _tail(self, text: str) -> bytes:
+        """The ids of what no space stands before: the punctuation behind a word, a text's first unit."""
+        if text not in self.bare:
+            if len(self.bare) > self.cache_units:
+                self.bare.clear()
+            self.bare[text] = self.whole(text) if text else b""
+        return self.bare[text]
 
 
 @lru_cache(maxsize=4)
