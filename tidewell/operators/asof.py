@@ -14,9 +14,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], carry: list[str], o
     """
     ts = order[0]
     packed = F.struct(F.col(ts).alias("at"), *(F.col(c).alias(c) for c in carry))
-    a = left.select(*left.columns, F.lit(1).alias("side"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("found"))
-    b = right.select(*(F.col(c) if c in keys + order else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.lit(0).alias("side"), packed.alias("found"))
+    a = left.select(*left.columns, F.lit(0).alias("side"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("found"))
+    b = right.select(*(F.col(c) if c in keys + order else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.lit(1).alias("side"), packed.alias("found"))
     window = Window.partitionBy(*keys).orderBy(*order, "side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b).withColumn("last", F.last("found", ignorenulls=True).over(window)).where("side = 1")
+    rows = a.unionByName(b).withColumn("last", F.last("found", ignorenulls=True).over(window)).where("side = 0")
     fresh = F.lit(True) if within_ns is None else F.col(ts) - F.col("last.at") <= within_ns
     return rows.select(*left.columns, *(F.when(fresh, F.col(f"last.{c}")).alias(prefix + c) for c in ["at", *carry]))
