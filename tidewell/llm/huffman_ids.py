@@ -26,7 +26,7 @@ END_ID = 2
 MAX_BITS = 18
 STRIDE = 256
 BLOCK_IDS = 16384
-_BLOCK = "part int, block int, before long, doc_ids array<long>, counts array<int>, entries array<long>, payload binary"
+_BLOCK = "part int, before long, doc_ids array<long>, counts array<int>, entries array<long>, payload binary"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -122,18 +122,18 @@ def decode_blocks(payloads: list[bytes], entries: list[np.ndarray], totals: list
 
 def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, nth = encoder(path), TaskContext.get().partitionId(), 0
+        code, part, place = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 doc_ids = batch.column(0).slice(k, 512)
                 ids = [raw + end for raw in code.encode(batch.column(1).slice(k, 512).to_pylist())]
-                n = len(ids)
+                ends = np.cumsum([len(raw) // 2 for raw in ids]) + place
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(range(nth, nth + n), pa.int64()), doc_ids, pa.array(ids, pa.binary())],
-                    names=["part", "nth", "doc_id", "ids"],
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(np.concatenate([[place], ends[:-1]]).astype(np.int64)), doc_ids, pa.array(ids, pa.binary())],
+                    names=["part", "place", "doc_id", "ids"],
                 )
-                nth += n
+                place = int(ends[-1])
 
     return run
 
@@ -149,31 +149,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoded(lengths: np.ndarray, block_ids: int, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, block, before, last = canonical(lengths), 0, 0, None
+        codes = canonical(lengths)
         held: list[tuple] = []
-        size = 0
+        part = before = size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, before, held, size
             ids = np.frombuffer(b"".join(r[1] for r in held), dtype="<u2")
             payload, entries = encode_block(ids, codes, lengths, stride)
-            out = pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([last], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+                    pa.array([part], pa.int32()), pa.array([before], pa.int64()),
                     pa.array([[r[0] for r in held]], pa.list_(pa.int64())), pa.array([[len(r[1]) // 2 for r in held]], pa.list_(pa.int32())),
                     pa.array([entries], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
                 ],
-                names=["part", "block", "before", "doc_ids", "counts", "entries", "payload"],
+                names=["part", "before", "doc_ids", "counts", "entries", "payload"],
             )
-            block, before, held, size = block + 1, before + len(ids), [], 0
-            return out
 
+        # A block holds documents that follow each other in their part, however the reader has split the parts.
         for batch in batches:
-            for part, doc_id, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if held and (part != last or size >= block_ids):
+            for p, place, doc_id, ids in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if held and (p != part or place != before + size or size >= block_ids):
                     yield flush()
-                if part != last:
-                    last, block, before = part, 0, 0
+                    held, size = [], 0
+                if not held:
+                    part, before = p, place
                 held.append((doc_id, ids))
                 size += len(ids) // 2
         if held:
@@ -210,15 +209,14 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ma
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sorted_ = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ids = stored(sorted_.mapInArrow(_tokens(path or vocabulary(), end_id), "part int, nth long, doc_id long, ids binary"), "ids")
+    ids = stored(sorted_.mapInArrow(_tokens(path or vocabulary(), end_id), "part int, place long, doc_id long, ids binary"), "ids")
     counts = np.zeros(65536, dtype=np.int64)
     for r in ids.select("ids").mapInArrow(_counted, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # at most one row a symbol
         counts[r["symbol"]] = r["n"]
     lengths = code_lengths(counts, max_bits)
     spark = docs.sparkSession
     code = stored(spark.createDataFrame([(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)], "symbol int, length int").coalesce(1), "code")
-    ordered = ids.repartition("part").sortWithinPartitions("part", "nth").select("part", "doc_id", "ids")
-    blocks = stored(ordered.mapInArrow(_encoded(lengths, block_ids, stride), _BLOCK), "blocks")
+    blocks = stored(ids.select("part", "place", "doc_id", "ids").mapInArrow(_encoded(lengths, block_ids, stride), _BLOCK), "blocks")
     return blocks, code
 
 

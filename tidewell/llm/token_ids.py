@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Units in each of the two generations of a worker's cache: when the younger one is full the older one goes.
-CACHE_UNITS = 450_000
+CACHE_UNITS = 700_000
 #: A space that a blank or the text's end follows: the unit in front goes on.
 _DOUBLE = re.compile(r" (?:\s|\Z)")
 _TAIL = "\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~!"
