@@ -358,3 +358,18 @@ def t9_interning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_s19_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     return rows.select(F.col("n_nationkey").alias("hook_id"), F.when(F.col("n_nationkey") % 4 == 0, "unavailable").otherwise("available").alias("status"), F.col("r_name").alias("reason"))
+
+
+@query("""SELECT event_id AS seq, CASE k WHEN 0 THEN 'process' WHEN 1 THEN 'file' WHEN 2 THEN 'network' ELSE 'default' END AS category, CASE k WHEN 0 THEN 'execute' WHEN 1 THEN 'open_write' WHEN 2 THEN 'connect' WHEN 3 THEN 'execve' ELSE 'syscall_999' END AS operation,
+  CASE k WHEN 0 THEN '/bin/x' || u WHEN 1 THEN '/data/y' || u WHEN 2 THEN '1.0.0.10:80' ELSE '' END AS resource, CASE WHEN k < 3 THEN CASE k WHEN 0 THEN 'argv=a b' WHEN 1 THEN 'dirfd=-100;flags=65' ELSE 'fd=3' END ELSE '' END AS named
+ FROM (SELECT event_id, user_id AS u, CAST(json_extract(props, '$.k') AS INT) % 5 AS k FROM events)""")
+def s8_s9_mapped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import mapping
+
+    rows = syscalls(spark, sf_dir).selectExpr("seq", "pid", "k % 5 AS m")
+    arg = lambda t, v, p="NULL": f"named_struct('type', '{t}', 'value', {v}, 'parts', CAST({p} AS array<string>))"
+    args = f"""CASE m WHEN 0 THEN array({arg('resource', "concat('/bin/x', pid)")}, {arg('strarr', "''", "array('a', 'b')")}) WHEN 1 THEN array({arg('int', "'-100'")}, {arg('resource', "concat('/data/y', pid)")}, {arg('int', "'65'")})
+        WHEN 2 THEN array({arg('int', "'3'")}, {arg('int', "'2'")}, {arg('uint', "'167772161'")}, {arg('uint', "'80'")}) WHEN 4 THEN array({arg('int', "'1'")}) ELSE filter(array({arg('int', "'1'")}), x -> false) END AS args"""
+    frames = rows.selectExpr("seq", "element_at(array(59, 257, 42, 59, 999), m + 1) AS syscall_id", args, "0 AS retval")
+    found = mapping.map_frames(mapping.named(frames, mapping.call_names(spark)))
+    return found.select("seq", "category", "operation", "resource", F.array_join(F.transform("named", lambda a: F.concat(a["name"], F.lit("="), a["value"])), ";").alias("named"))
