@@ -95,10 +95,10 @@ def _near(df: DataFrame, near: int) -> DataFrame:
 def personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, least_docs: int = LEAST_DOCS, near: int = NEAR, carry: list[str] | None = None) -> DataFrame:
     """`docs` with `spans`, an array of (start, kind, end) in order, base kinds and then the terms to generalise or remove.
 
-    All columns of `docs` (or those of `carry`) stay; `text` is read as empty where null.  Texts
+    All columns of `docs` (or those of `carry`) stay, but for one named `spans`; `text` is read as empty where null.  Texts
     without base spans have no others.  Repeated rows count as documents each.
     """
-    carry = carry or docs.columns
+    carry = [c for c in carry or docs.columns if c != "spans"]
     rows = docs.select(F.struct(*carry).alias("own"), text_of().alias("text"))
     rows = _near(_base(rows), near).select("own", "text", "spans", "terms", F.monotonically_increasing_id().alias("row"))
     rows = stored(rows.select("own", "spans", "terms", "row"), "pii")

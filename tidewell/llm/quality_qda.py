@@ -89,6 +89,8 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = len(STATISTICS) + 1
     sums = np.zeros((2, d, d))
     for batch in batches:
+        if not batch.num_rows:
+            continue
         x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
         y = np.asarray(batch.column(1))
         x = np.column_stack([np.ones(len(x)), x])
@@ -130,8 +132,10 @@ class Discriminant:
 def _scored(model: Discriminant):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x) if len(x) else np.zeros(0))], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], names=["doc_id", "held_out", "score"])
 
     return run
 

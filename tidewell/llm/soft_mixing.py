@@ -127,16 +127,9 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], ridge: float = RIDGE
     return steps, dict(zip(domains, map(float, aim)))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: list[str] | None = None, ridge: float = RIDGE) -> DataFrame:
-    """One row per row of `docs`: its columns (or those of `carry`), tokens, p_<domain>, rate, copies.
-
-    `copies` rounds the rate up or down by a hash of the row, so that its mean is
-    the rate.  Null and empty texts have no tokens and their rate follows from
-    their posterior alike; repeated rows are rated alike; without labels all
-    posteriors are equal.
-    """
-    targets = targets or TARGETS
-    domains, carry = tuple(targets), carry or docs.columns
+def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry: list[str], ridge: float) -> DataFrame:
+    """(own, tokens, p_<domain>, rate, copies); `own` holds the columns of `carry`."""
+    domains = tuple(targets)
     words = telling_words(docs, labels)
     own = docs.select(F.struct(*carry).alias("own"), F.col("doc_id").alias("id"), text_of().alias("text"))
     rows = own.select("own", "id", F.xxhash64("id", "text").alias("draw"), *_measures(words)).selectExpr("own", "id", "draw", "tokens", *_inputs())
@@ -147,9 +140,25 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     scored = rows.selectExpr("own", "draw", "tokens", *posterior)
     steps, _ = fit_rates(scored, targets, ridge)
     out = scored.withColumn("rate", rate(domains, steps, ridge))
-    return out.selectExpr("own.*", "tokens", *(f"p_{d}" for d in domains), "rate", "int(floor(rate + pmod(draw, 1048576) / 1048576D)) AS copies")
+    return out.selectExpr("own", "tokens", *(f"p_{d}" for d in domains), "rate", "int(floor(rate + pmod(draw, 1048576) / 1048576D)) AS copies")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: list[str] | None = None, ridge: float = RIDGE) -> DataFrame:
+    """One row per row of `docs`: its columns (or those of `carry`), tokens, p_<domain>, rate, copies.
+
+    `copies` rounds the rate up or down by a hash of the row, so that its mean is
+    the rate.  Null and empty texts have no tokens and their rate follows from
+    their posterior alike; repeated rows are rated alike; without labels all
+    posteriors are equal.  Columns of `docs` that are named like the result's own
+    are left out.
+    """
+    targets = targets or TARGETS
+    made = {"tokens", "rate", "copies", *(f"p_{d}" for d in targets)}
+    found = _mixed(docs, labels, targets, [c for c in carry or docs.columns if c not in made], ridge)
+    return found.select("own.*", *(c for c in found.columns if c != "own"))
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as `copies` says."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.expr("array_repeat(0, copies)")).alias("copy")).drop("copy")
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, ridge: float = RIDGE) -> DataFrame:
+    """The rows of `docs`, each as often as its rate says, with all their columns."""
+    found = _mixed(docs, labels, targets or TARGETS, docs.columns, ridge)
+    return found.where("copies > 0").select("own", F.explode(F.expr("array_repeat(0, copies)")).alias("copy")).select("own.*")
