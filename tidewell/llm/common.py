@@ -12,6 +12,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: What a Python worker keeps between tasks, as functions that let it go.
+CACHES: list = []
+
+
+def drop_caches() -> None:
+    """For tasks that need memory themselves: a worker that goes on to other work lets its caches go."""
+    for drop in CACHES:
+        drop()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is named (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")

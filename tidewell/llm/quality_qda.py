@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import drop_caches, stored, text_of
 from .substring_dedup import Words, _grouped
 
 #: Shrinkage of a class covariance to the pooled one, and of that to the identity; standardised statistics are cut at so many deviations.
@@ -77,6 +77,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches()
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         for a, b in _grouped([len(t) for t in texts]):
@@ -157,6 +158,7 @@ def held_out() -> Column:
 
 def _passed(model: Discriminant):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             texts = [t.encode() if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
             scores = [model.score(statistics(texts[a:b])) for a, b in _grouped([len(t) for t in texts])]

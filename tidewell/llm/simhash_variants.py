@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import drop_caches, stored, text_of
 
 SEED = 42
 SHINGLE = 3
@@ -51,6 +51,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches()
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
         found = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=len(texts))

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import drop_caches, stored, text_of
 from .fm_index import repeated_windows
 
 WINDOW = 35
 GRAM = 8
 CROWD = 256
 #: Texts hashed together: bounds the arrays of a task.
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -44,7 +44,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: np.uint64, n: int, known: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  kept between calls
-    if base not in known or len(known[base][0]) < n:
+    if base not in known or len(known[base][0]) < n or len(known[base][0]) > 4 * max(n, _BYTES):
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         made = []
         for b in (base, inverse):
@@ -107,6 +107,7 @@ def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def _anchors(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             all_texts = batch.column(2).cast(pa.binary()).to_pylist()
             for a, b in _grouped([len(t) for t in all_texts]):
@@ -141,6 +142,7 @@ def _segments(size: int):
     """(uid, start, key, seg) for each run, or for each window of a crowded run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             all_texts = batch.column(1).cast(pa.binary()).to_pylist()
             all_runs = batch.column(2).to_pylist()
@@ -187,6 +189,7 @@ def _searched(size: int):
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seg_id, pa.int64()), pa.array(bits, pa.binary())], names=["key", "seg_id", "flags"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         held: list[tuple] = []
         words = 0
         for batch in batches:

@@ -15,8 +15,10 @@ from itertools import chain
 
 import numpy as np
 
+from .common import CACHES
+
 #: Units in each of the two generations of a worker's cache: when the younger one is full the older one goes.
-CACHE_UNITS = 700_000
+CACHE_UNITS = 500_000
 #: A space that a blank or the text's end follows: the unit in front goes on.
 _DOUBLE = re.compile(r" (?:\s|\Z)")
 _TAIL = "\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~!"
@@ -120,6 +122,9 @@ def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
