@@ -25,7 +25,8 @@ from .common import stored, text_of
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 RIDGE = 1e-3
 ROUNDS = 40
-CLOSE = 1e-6
+#: Rounds end when the domains' shares move by less than this, or are as close to their targets.
+CLOSE = 1e-5
 #: A domain below this share of the tokens keeps its share: a few documents can't stand for it.
 LEAST_SHARE = 0.01
 #: Labelled rows that the word list is learnt from, and its length.
@@ -54,16 +55,21 @@ def telling_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, term
 
 
 def _measures(words: list[str]) -> list[Column]:
-    """Tokens and the classifier's inputs, from `text`."""
+    """Tokens and the classifier's inputs, from `text` and `low`, its lower-case form.
+
+    The word list's pattern is only run on texts that hold one of the words at all.
+    """
     first = "".join(sorted({w[0] for w in words}))
-    hits = f"regexp_count(lower(text), r'(?<!\\p{{L}})(?=[{first}])(?:{'|'.join(sorted(words))})(?!\\p{{L}})')" if words else "0"
+    any_ = " OR ".join(f"contains(low, '{w}')" for w in words)
+    pattern = f"(?=[{first}])(?<!\\p{{L}})(?:{'|'.join(sorted(words))})(?!\\p{{L}})"
+    hits = f"CASE WHEN {any_} THEN regexp_count(low, r'{pattern}') ELSE 0 END" if words else "0"
     return [
         F.expr(r"bigint(regexp_count(text, r'[^\x20\x09-\x0D]+'))").alias("tokens"),
         F.expr(hits).alias("hits"),
         F.expr("length(text)").alias("chars"),
-        F.expr("length(text) - length(translate(text, '#*$%&|<>!', ''))").alias("marks"),
+        F.expr("regexp_count(text, r'[#*$%&|<>!]')").alias("marks"),
         F.expr("regexp_count(text, r'[A-Z]{2}')").alias("shouts"),
-        F.expr("regexp_count(text, r' \\| ')").alias("bars"),
+        F.expr("CASE WHEN contains(text, ' | ') THEN regexp_count(text, r' \\| ') ELSE 0 END").alias("bars"),
     ]
 
 
@@ -118,11 +124,13 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], ridge: float = RIDGE
         aim = np.where(large, aim * (1 - natural[~large].sum()) / aim[large].sum(), natural)
     inverse = np.linalg.inv(gram + 1e-4 * np.eye(k))
     steps: list[np.ndarray] = []
+    before = natural
     for _ in range(rounds):
         r = rate(domains, steps, ridge)
         have = np.array(scored.agg(*(F.sum(u * F.col(f"p_{d}") * r) for d in domains)).first(), dtype=float)
-        if np.abs(have - aim).max() < close:
+        if np.abs(have - aim).max() < close or (steps and np.abs(have - before).max() < close):
             break
+        before = have
         steps.append(inverse @ (have - aim))
     return steps, dict(zip(domains, map(float, aim)))
 
@@ -132,13 +140,13 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry:
     domains = tuple(targets)
     words = telling_words(docs, labels)
     own = docs.select(F.struct(*carry).alias("own"), F.col("doc_id").alias("id"), text_of().alias("text"))
-    rows = own.select("own", "id", F.xxhash64("id", "text").alias("draw"), *_measures(words)).selectExpr("own", "id", "draw", "tokens", *_inputs())
+    rows = own.withColumn("low", F.lower("text")).select("own", "id", F.xxhash64("id", "text").alias("draw"), *_measures(words)).selectExpr("own", "id", "draw", "tokens", *_inputs())
     rows = stored(rows, "measures")
     known = labels.select(F.col("doc_id").alias("id"), domain_of().alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
     sums = rows.join(known, "id").groupBy("domain").agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m_{x}") for x in _X), *(F.var_pop(x).alias(f"v_{x}") for x in _X)).collect()  # a row a domain
     posterior = [f"{p} AS p_{d}" for d, p in zip(domains, _posteriors(sums, domains))]
     scored = rows.selectExpr("own", "draw", "tokens", *posterior)
-    steps, _ = fit_rates(scored, targets, ridge)
+    steps, _ = fit_rates(stored(scored.drop("own", "draw"), "posteriors"), targets, ridge)
     out = scored.withColumn("rate", rate(domains, steps, ridge))
     return out.selectExpr("own", "tokens", *(f"p_{d}" for d in domains), "rate", "int(floor(rate + pmod(draw, 1048576) / 1048576D)) AS copies")
 
