@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +29,14 @@ def drop_caches() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is named (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or "file:///tmp/tidewell-scratch"
+    return named or f"file://{_own_dir()}"
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="tidewell-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -21,6 +21,9 @@ from .common import CACHES
 CACHE_UNITS = 500_000
 #: A space that a blank or the text's end follows: the unit in front goes on.
 _DOUBLE = re.compile(r" (?:\s|\Z)")
+#: Characters of units at which a generation is full too, and of a unit without a space that is kept.
+CACHE_CHARACTERS = 16_000_000
+LONGEST_BARE = 64
 _TAIL = "\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~!"
 
 
@@ -36,6 +39,7 @@ class UnitEncoder:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.characters = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -58,6 +62,7 @@ class UnitEncoder:
         """Encode units (with their space) that are not kept yet: those without inner blanks together, parted by line breaks."""
         plain = [u for u in new if u.split() == [u]] if len(self.break_id) == 1 else []
         odd = set(new).difference(plain)
+        self.characters += sum(map(len, new))
         for at in range(0, len(plain), 256):
             group = plain[at : at + 256]
             ids = np.array(self.library.encode(" " + "\n ".join(group), add_special_tokens=False).ids, dtype="<u2")
@@ -73,8 +78,8 @@ class UnitEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian unsigned 16-bit integers."""
-        if len(self.kept) > self.cache_units:
-            self.older, self.kept = self.kept, {}
+        if len(self.kept) > self.cache_units or self.characters > CACHE_CHARACTERS:
+            self.older, self.kept, self.characters = self.kept, {}, 0
         kept, older = self.kept, self.older
         split: list[list[str] | None] = []
         stems: dict[str, tuple[str, str]] = {}
@@ -109,6 +114,8 @@ class UnitEncoder:
 
     def _tail(self, text: str) -> bytes:
         """The ids of what no space stands before: the punctuation behind a word, a text's first unit."""
+        if len(text) > LONGEST_BARE:
+            return self.whole(text)
         if text not in self.bare:
             if len(self.bare) > self.cache_units:
                 self.bare.clear()
