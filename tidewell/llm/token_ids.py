@@ -18,11 +18,11 @@ import numpy as np
 from .common import CACHES
 
 #: Units in each of the two generations of a worker's cache: when the younger one is full the older one goes.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 700_000
 #: A space that a blank or the text's end follows: the unit in front goes on.
 _DOUBLE = re.compile(r" (?:\s|\Z)")
 #: Characters of units at which a generation is full too, and of a unit without a space that is kept.
-CACHE_CHARACTERS = 16_000_000
+CACHE_CHARACTERS = 20_000_000
 LONGEST_BARE = 64
 _TAIL = "\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~!"
 
@@ -81,7 +81,7 @@ class UnitEncoder:
         if len(self.kept) > self.cache_units or self.characters > CACHE_CHARACTERS:
             self.older, self.kept, self.characters = self.kept, {}, 0
         kept, older = self.kept, self.older
-        split: list[list[str] | None] = []
+        split: list[tuple[str, list[str]] | None] = []
         stems: dict[str, tuple[str, str]] = {}
         new: set[str] = set()
         for text in texts:
@@ -89,8 +89,9 @@ class UnitEncoder:
                 split.append(None)
                 continue
             units = self.units(text)
-            split.append(units)
-            for unit in [u for u in units[1:] if u not in kept]:
+            rest = units[1:]
+            split.append((units[0], rest))
+            for unit in [u for u in rest if u not in kept]:
                 if unit in new or unit in stems:
                     continue
                 if unit in older:
@@ -110,7 +111,7 @@ class UnitEncoder:
         for unit, (stem, tail) in stems.items():
             kept[unit] = kept[stem] + self._tail(tail)
         get = kept.__getitem__
-        return [(self.whole(text) if text else b"") if units is None else self._tail(units[0]) + b"".join(map(get, units[1:])) for text, units in zip(texts, split)]
+        return [(self.whole(text) if text else b"") if units is None else self._tail(units[0]) + b"".join(map(get, units[1])) for text, units in zip(texts, split)]
 
     def _tail(self, text: str) -> bytes:
         """The ids of what no space stands before: the punctuation behind a word, a text's first unit."""
