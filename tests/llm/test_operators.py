@@ -161,6 +161,19 @@ def test_line_rules(spark, docs, empty):
     assert all(rows[k].kept and rows[k].n_frequent_words == 6 for k in range(1, 60))
 
 
+def test_frequent_lines_are_removed(spark):
+    tails = [prose(80, 300 + k) for k in range(40)]
+    page = [(k, f"Shared  LINE {k % 10} of the host\n\n" + tails[k] + "\n  shared line 7 of THE host \n", "h", "en") for k in range(40)]
+    page += [(90, "shared line 7 of the host\n" + tails[0], "other", "en"), (91, None, "h", None), (92, "shared line 1 of the host", "h", "en")]
+    found = line_frequency.cleaned(spark.createDataFrame(page, "doc_id long, text string, source string, lang string"))
+    rows = {r.doc_id: r for r in found.collect()}
+    assert found.columns == ["doc_id", "source", "lang", "text", *line_frequency.MEASURES]
+    assert all(rows[k].text == f"\n{tails[k]}\n" and rows[k].kept and rows[k].n_frequent_words == 12 and rows[k].lang == "en" for k in range(40))
+    assert rows[90].text == page[40][1] and rows[90].n_frequent_words == 0
+    assert (rows[91].text, rows[91].n_words, rows[91].kept) == ("", 0, False)
+    assert (rows[92].text, rows[92].n_frequent_words, rows[92].kept) == ("", 6, False)
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 

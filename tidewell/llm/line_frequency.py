@@ -3,8 +3,9 @@
 Lines are normalised (lower case, digits to 0, white space to one blank) and
 hashed; each distinct text of a host counts once for a line, so groups of copies
 do not make their own lines frequent.  A line that more than
-max(`min_docs`, `share` x texts of that host) texts hold is removed; a document
-that keeps less than `keep_share` of its words is depleted and rejected.
+max(`min_docs`, `share` x texts of that host) texts hold is removed from every
+text; a document that keeps less than `keep_share` of its words is depleted and
+rejected.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, stored, text_of
+from .common import GAP, WORD, stored, text_of
 
 MIN_DOCS = 25
 SHARE = 0.01
@@ -29,10 +30,14 @@ _REPEATED = """
 """
 
 
-def _measured(docs: DataFrame, host: str) -> DataFrame:
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_of().alias("text"))
+#: The measures that the cleaned rows carry besides the columns of the documents.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "kept")
+
+
+def _measured(docs: DataFrame, host: str, carry: list[str]) -> DataFrame:
+    rows = docs.select(F.struct(*carry).alias("own"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_of().alias("text"))
     rows = rows.select(
-        "doc_id", "host", F.xxhash64("text").alias("content"),
+        "own", "host", F.xxhash64("text").alias("content"), F.expr(r"split(text, '\n')").alias("parts"),
         F.expr(rf"filter(split(text, r'{GAP}'), w -> w <> '')").alias("words"),
         F.expr(r"filter(split(text, '\n'), l -> l rlike r'[^\x20\x09-\x0D]')").alias("lines"),
         F.expr("bigint(regexp_count(text, r'[#*$%&|<>]'))").alias("n_symbols"),
@@ -42,7 +47,7 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
         F.expr("CASE WHEN size(words) > 2 THEN transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) ELSE array() END").alias("grams"),
     )
     rows = rows.select(
-        "doc_id", "host", "content", "n_symbols", "lines",
+        "own", "host", "content", "n_symbols", "parts", "lines",
         F.expr("bigint(size(words))").alias("n_words"),
         F.expr("bigint(length(array_join(words, '')))").alias("word_chars"),
         F.expr("bigint(size(lines) - size(array_distinct(lines)))").alias("n_dup_lines"),
@@ -50,42 +55,46 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
     )
     clean = rf"trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0'), r'{GAP}', ' '))"
     return rows.select(
-        "doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "own", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.expr(f"CASE WHEN sorted IS NULL THEN 0L ELSE {_REPEATED} END").alias("n_repeat_words"),
-        F.expr(f"transform(lines, l -> named_struct('hash', xxhash64({clean}), 'words', regexp_count(l, r'[^\\x20\\x09-\\x0D]+')))").alias("lines"),
-        F.monotonically_increasing_id().alias("row"),
+        F.expr(f"transform(parts, l -> named_struct('line', l, 'hash', CASE WHEN l rlike r'[^\\x20\\x09-\\x0D]' THEN xxhash64({clean}) END))").alias("lines"),
     )
 
 
-def line_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """One row per row of `docs`: doc_id, the base measures, base_failed, n_frequent_words, kept.
+def cleaned(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of `docs`: its columns (or those of `carry`), `text` without the frequent lines of its host, and the measures.
 
     A null text is empty (no words: base_failed); a null host is the host "".
     Repeated rows are judged alike and count once.  Two windows are taken as
-    equal when their 64-bit hashes are; likewise lines.
+    equal when their 64-bit hashes are; likewise lines.  Lines end at a line
+    feed, which goes with its line; blank lines stay.  The measures but
+    n_frequent_words and kept are those of the text as it came in.  Columns of
+    `docs` that are named like a measure are left out.
     """
-    rows = stored(_measured(docs, host), "lines")
+    carry = [c for c in carry or docs.columns if c not in ("text", *MEASURES)]
+    rows = stored(_measured(docs, host, carry), "lines")
     texts = rows.groupBy("host", "content").agg(F.count("*").alias("rows_")).groupBy("host").agg(F.count("*").alias("texts"))
-    held = rows.select("host", "content", F.explode(F.expr("array_distinct(transform(lines, l -> l.hash))")).alias("hash")).distinct()
+    held = rows.select("host", "content", F.explode(F.expr("array_distinct(filter(lines.hash, h -> h IS NOT NULL))")).alias("hash")).distinct()
     frequent = (
         held.groupBy("host", "hash").agg(F.count("*").alias("docs"))
         .where(F.col("docs") > min_docs)
         .join(texts, "host")
         .where(F.col("docs") > F.lit(share) * F.col("texts"))
-        .select("host", "hash")
+        .groupBy("host")
+        .agg(F.collect_list("hash").alias("frequent"))  # 1 / share times the lines of a text at most
     )
-    removed = (
-        rows.select("row", "host", F.explode("lines").alias("line"))
-        .select("row", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-        .join(frequent, ["host", "hash"])
-        .groupBy("row")
-        .agg(F.sum("words").alias("n_frequent_words"))
-    )
+    # Stored, so that its size is known before the texts are dealt out for the join.
+    out = rows.join(stored(frequent, "frequent"), "host", "left").withColumn("gone", F.expr("array_intersect(lines.hash, frequent)"))
+    left = "filter(lines, l -> l.hash IS NULL OR NOT array_contains(gone, l.hash))"
+    out = out.withColumn("text", F.expr(f"array_join(transform(CASE WHEN size(gone) > 0 THEN {left} ELSE lines END, l -> l.line), '\n')"))
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    lost = F.coalesce("n_frequent_words", F.lit(0).cast("long"))
-    out = rows.drop("lines").join(removed, "row", "left")
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), lost.alias("n_frequent_words"),
-        (~failed & (F.col("n_words") - lost >= F.lit(keep_share) * F.col("n_words"))).alias("kept"),
+    lost = F.expr(rf"CASE WHEN size(gone) > 0 THEN n_words - regexp_count(text, r'{WORD}') ELSE 0L END")
+    return out.withColumn("n_frequent_words", lost).select(
+        "own.*", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_frequent_words",
+        (~failed & (F.col("n_words") - F.col("n_frequent_words") >= F.lit(keep_share) * F.col("n_words"))).alias("kept"),
     )
+
+
+def line_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """One row per row of `docs`: doc_id and the measures of cleaned()."""
+    return cleaned(docs, host, min_docs, share, keep_share, carry=["doc_id"]).select("doc_id", *MEASURES)
