@@ -303,6 +303,17 @@ def test_terms_that_disclose(spark):
     assert "Zorblax" not in text[0] and "[EMAIL]" in text[0]
 
 
+def test_terms_that_disclose_are_found_everywhere(spark):
+    """Far from their entity, and in texts that have none; a text that holds both counts, however far apart they stand."""
+    far = prose(80, 700)
+    rows = [(k, f"Zorblax {far} zor@blax.org {prose(9, k)}") for k in range(8)] + [(8, "I met Zorblax, zorblax; not zorblaxen"), (9, None)]
+    rows += [(20 + k, f"{far} {prose(9, 50 + k)}") for k in range(400)]
+    found = disclosure.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = {r.doc_id: r.text for r in disclosure.sanitised(found).collect()}
+    assert all("Zorblax" not in text[k] and "[EMAIL]" in text[k] and far in text[k] for k in range(8))
+    assert text[8] == "I met , ; not zorblaxen" and text[9] is None and text[20] == rows[10][1]
+
+
 def test_secrets(docs, empty):
     got = {}
     for r in guess_cost.find_secrets(docs).collect():

@@ -2,14 +2,15 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers; the
 distinct strings are the protected entities.  Over the whole corpus, a term (a
-word of letters near an entity) discloses an entity as far as their pointwise
-mutual information reaches the entity's own information content:
+word of letters that no base span overlaps) discloses an entity as far as their
+pointwise mutual information reaches the entity's own information content:
 
     log(co * N / (n_entity * n_term))  /  log(N / n_entity)
 
-with document counts.  From `generalise_at` on the term is generalised, from
-`remove_at` on it is removed, wherever it stands near that entity.  Pairs seen
-in fewer than `least_docs` documents say nothing.
+with document counts; a pair counts in every document that holds both, however
+far apart.  From `generalise_at` on the term is generalised, from `remove_at` on
+it is removed, wherever it stands in any document, with the entity or without.
+Pairs seen in fewer than `least_docs` documents say nothing.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .common import stored, text_of
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 LEAST_DOCS = 3
-#: Code points on each side of an entity in which terms count as near.
-NEAR = 64
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 
@@ -76,52 +75,66 @@ def _base(docs: DataFrame) -> DataFrame:
     )
 
 
-def _near(df: DataFrame, near: int) -> DataFrame:
-    """Adds `terms`: the words of letters on each side of each span, that no span overlaps."""
-    word = r"(?<!\p{L})\p{L}{3,}(?!\p{L})"
-    # One code point more on the outer side shows whether a word is cut off there.
-    sides = f"""flatten(transform(spans, s -> array(
-        named_struct('entity', s.value, 'from', greatest(s.start - {near + 1}, 0), 'upto', s.start),
-        named_struct('entity', s.value, 'from', s.end, 'upto', least(s.end + {near + 1}, length(text))))))"""
-    df = df.selectExpr("*", f"transform({sides}, w -> named_struct('entity', w.entity, 'from', w.from, 'cut', w.upto < length(text), 'part', substring(text, w.from + 1, w.upto - w.from))) AS sides")
-    found = _found("w.part", word)
-    terms = f"""flatten(transform(sides, w -> transform(
-        filter({found}, t -> (t.start > 0 OR w.from = 0) AND (t.end < length(w.part) OR NOT w.cut)),
-        t -> named_struct('entity', w.entity, 'term', lower(t.value), 'start', w.from + t.start, 'end', w.from + t.end))))"""
-    df = df.selectExpr("* EXCEPT (sides)", f"{terms} AS near_terms")
-    return df.selectExpr("* EXCEPT (near_terms)", "filter(near_terms, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end)) AS terms")
+#: Words of letters; the letters of base spans are masked by _P, so that a word which holds one overlaps a span.
+_WORD = rf"[\p{{L}}{_P}]{{3,}}"
+_CLEAR = f"NOT contains(w, '{_P}')"
 
 
-def personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, least_docs: int = LEAST_DOCS, near: int = NEAR, carry: list[str] | None = None) -> DataFrame:
+def _masked(df: DataFrame) -> DataFrame:
+    """Adds `masked`: the text, code point for code point, with the letters of the spans masked."""
+    text = f"replace(text, '{_P}', ' ')"
+    inside = f"regexp_replace(substring({text}, greatest(acc.at, s.start) + 1, s.end - greatest(acc.at, s.start)), r'\\p{{L}}', '{_P}')"
+    masked = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (acc, s) -> CASE WHEN s.end <= acc.at THEN acc ELSE named_struct(
+            'at', s.end, 'out', concat(acc.out, CASE WHEN s.start > acc.at THEN substring({text}, acc.at + 1, s.start - acc.at) ELSE '' END, {inside})) END,
+        acc -> concat(acc.out, substring({text}, acc.at + 1, length(text))))"""
+    return df.withColumn("masked", F.expr(f"CASE WHEN size(spans) = 0 THEN {text} ELSE {masked} END"))
+
+
+def personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, least_docs: int = LEAST_DOCS, carry: list[str] | None = None) -> DataFrame:
     """`docs` with `spans`, an array of (start, kind, end) in order, base kinds and then the terms to generalise or remove.
 
     All columns of `docs` (or those of `carry`) stay, but for one named `spans`; `text` is read as empty where null.  Texts
-    without base spans have no others.  Repeated rows count as documents each.
+    without base spans can have terms.  Repeated rows count as documents each.
     """
     carry = [c for c in carry or docs.columns if c != "spans"]
-    rows = docs.select(F.struct(*carry).alias("own"), text_of().alias("text"))
-    rows = _near(_base(rows), near).select("own", "text", "spans", "terms", F.monotonically_increasing_id().alias("row"))
-    rows = stored(rows.select("own", "spans", "terms", "row"), "pii")
-    words = docs.select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(coalesce(text, '')), r'\p{L}{3,}', 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = rows.select(F.explode(F.expr("array_distinct(transform(terms, t -> named_struct('entity', t.entity, 'term', t.term)))")).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("co"))
-    pairs = pairs.where(F.col("co") >= least_docs)
-    entities = rows.select(F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    own = [c for c in carry if c != "text"] or [F.lit(0).alias("none")]
+    rows = _masked(_base(docs.select(F.struct(*own).alias("own"), F.isnull("text").alias("blank"), text_of().alias("text"))))
+    rows = rows.select("own", "blank", "text", "spans", "masked", F.monotonically_increasing_id().alias("row"))
+    rows = stored(rows.drop("masked"), "pii")
+    rows = _masked(rows)
+    words = rows.select("row", "spans", F.expr(rf"array_distinct(transform(filter(regexp_extract_all(masked, r'{_WORD}', 0), w -> {_CLEAR}), w -> lower(w)))").alias("words"))
     total = rows.agg(F.count("*").alias("n")).first()["n"]
+    n_term = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    entities = rows.select(F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # An entity of fewer documents has no pair of `least_docs`.
+    entities = stored(entities.where(F.col("n_entity") >= least_docs), "entities")
+    held = words.where("size(spans) > 0").select("words", F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("entity")).join(entities, "entity")
+    pairs = held.select("entity", "n_entity", F.explode("words").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("co"))
+    n, share = F.lit(float(total)), lambda nt: F.log2(F.col("co") * n / (F.col("n_entity") * nt)) / F.col("own_bits")
+    # `co` documents hold the term at least: what is not enough with these is not enough with all.
+    pairs = pairs.where(F.col("co") >= least_docs).withColumn("own_bits", F.log2(n / F.col("n_entity"))).where((F.col("own_bits") > 0) & (share(F.col("co")) >= generalise_at))
     shown = (
-        pairs.join(entities, "entity").join(words, "term")
-        .withColumn("own_bits", F.log2(F.lit(float(total)) / F.col("n_entity")))
-        .withColumn("share", F.log2(F.col("co") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))) / F.col("own_bits"))
-        .where((F.col("own_bits") > 0) & (F.col("share") >= generalise_at))
-        .select("entity", "term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("kind"))
+        pairs.join(n_term, "term")
+        .withColumn("share", share(F.col("n_term")))
+        .where(F.col("share") >= generalise_at)
+        .groupBy("term")  # if it reveals two entities, the stronger measure holds
+        .agg(F.max(F.when(F.col("share") >= remove_at, 5).otherwise(4)).alias("kind"))
     )
-    near_ = rows.select("row", F.explode("terms").alias("t")).select("row", "t.*")
-    added = near_.join(shown, ["entity", "term"]).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))  # a text's own terms
+    # Stored, so that their sizes are known before words and texts are dealt out for the joins.
+    shown = stored(shown, "terms")
+    hits = words.select("row", F.explode("words").alias("term")).join(shown, "term").groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("hits"))  # a text's own terms
+    hits = stored(hits, "hits")
     base = "transform(spans, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
-    # One span a term: if it reveals two entities, the stronger measure holds.
-    strongest = "filter(array_distinct(added), a -> a.kind = 5 OR NOT exists(added, b -> b.start = a.start AND b.kind = 5))"
-    out = rows.where("size(terms) > 0").join(added, "row", "left").selectExpr("own", f"CASE WHEN added IS NULL THEN {base} ELSE sort_array(concat({base}, {strongest})) END AS spans")
-    out = out.unionByName(rows.where("size(terms) = 0").selectExpr("own", f"{base} AS spans"))
-    return out.select("own.*", "spans")
+    added = rf"""aggregate(
+        zip_with(split(masked, r'{_WORD}', -1), regexp_extract_all(masked, r'{_WORD}', 0), (g, w) -> named_struct('g', length(g), 'n', length(w), 'low', lower(w))),
+        named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,kind:int,end:int>>)),
+        (acc, x) -> CASE WHEN x.low IS NULL THEN acc ELSE named_struct(
+            'at', acc.at + x.g + x.n,
+            'out', CASE WHEN array_contains(hits.term, x.low)
+                   THEN array_append(acc.out, named_struct('start', acc.at + x.g, 'kind', hits[int(array_position(hits.term, x.low) - 1)].kind, 'end', acc.at + x.g + x.n)) ELSE acc.out END) END,
+        acc -> acc.out)"""
+    out = rows.join(hits, "row", "left").withColumn("found", F.expr(f"CASE WHEN hits IS NULL THEN {base} ELSE sort_array(concat({base}, {added})) END"))
+    return out.select(*(F.when(~F.col("blank"), F.col("text")).alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in carry), F.col("found").alias("spans"))
 
 
 def _listed(spans: str) -> str:
