@@ -426,3 +426,19 @@ def test_mixing_meets_targets(spark):
     toxic = mixed.join(labels.where("toxic = 1"), "doc_id").agg(F.avg("rate")).first()[0]
     good = mixed.join(labels.where("toxic = 0 AND quality = 1"), "doc_id").agg(F.avg("rate")).first()[0]
     assert toxic < 0.9 < 1 < good
+
+
+def test_mixing_fits_small_domains(spark):
+    """A domain of under 1 % of the tokens is fitted like any other; one without mass is told by its residual."""
+    for n_poor in (4, 40, 180):
+        rows = spark.range(20_000).selectExpr(
+            "100L + id % 37 AS tokens", f"CASE WHEN id < {n_poor} THEN 0.9D ELSE 0D END AS p_poor", f"CASE WHEN id BETWEEN {n_poor} AND {n_poor + 399} THEN 0.95D ELSE 0D END AS p_toxic"
+        ).withColumn("p_good", F.expr("1 - p_poor - p_toxic"))
+        steps, off = soft_mixing.fit_rates(rows, soft_mixing.TARGETS)
+        total = rows.agg(F.sum("tokens")).first()[0]
+        r = soft_mixing.rate(tuple(soft_mixing.TARGETS), steps)
+        for name, share in soft_mixing.TARGETS.items():
+            have = rows.agg(F.sum(F.col("tokens") * F.col(f"p_{name}") * r)).first()[0] / total
+            assert abs(have - share) < 1e-3 and abs(have - share - off[name]) < 1e-9
+    _, off = soft_mixing.fit_rates(rows.withColumn("p_good", F.expr("p_good + p_poor")).withColumn("p_poor", F.lit(0.0)), soft_mixing.TARGETS)
+    assert abs(off["poor"] + 0.06) < 1e-9 and abs(off["good"]) < 1e-3

@@ -15,6 +15,8 @@ one aggregate of a few sums; no rate is stored and nothing but sums is collected
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ RIDGE = 1e-3
 ROUNDS = 40
 #: Rounds end when the domains' shares move by less than this, or are as close to their targets.
 CLOSE = 1e-5
-#: A domain below this share of the tokens keeps its share: a few documents can't stand for it.
-LEAST_SHARE = 0.01
+#: A residual share from which a target counts as missed, and is reported.
+MISSED = 1e-3
 #: Labelled rows that the word list is learnt from, and its length.
 SAMPLE = 4000
 TERMS = 24
@@ -108,7 +110,10 @@ def rate(domains: tuple[str, ...], steps: list[np.ndarray], ridge: float = RIDGE
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float], ridge: float = RIDGE, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[list[np.ndarray], dict[str, float]]:
-    """The gradient steps, and the shares that were aimed at."""
+    """The gradient steps, and by domain how far the expected share is from its target after them.
+
+    Every target is fitted as it is.  A domain without any mass can't be met: its residual is its target, negative.
+    """
     domains = tuple(targets)
     tokens = scored.agg(F.sum("tokens").alias("n")).first()["n"]
     if not tokens:
@@ -119,20 +124,17 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], ridge: float = RIDGE
     k = len(domains)
     gram, natural = sums[: k * k].reshape(k, k), sums[k * k :]
     aim = np.array([targets[d] for d in domains])
-    large = natural >= LEAST_SHARE
-    if large.any() and aim[large].sum() > 0:
-        aim = np.where(large, aim * (1 - natural[~large].sum()) / aim[large].sum(), natural)
     inverse = np.linalg.inv(gram + 1e-4 * np.eye(k))
     steps: list[np.ndarray] = []
     before = natural
-    for _ in range(rounds):
+    for k in range(rounds + 1):
         r = rate(domains, steps, ridge)
         have = np.array(scored.agg(*(F.sum(u * F.col(f"p_{d}") * r) for d in domains)).first(), dtype=float)
-        if np.abs(have - aim).max() < close or (steps and np.abs(have - before).max() < close):
+        if np.abs(have - aim).max() < close or (steps and np.abs(have - before).max() < close) or k == rounds:
             break
         before = have
         steps.append(inverse @ (have - aim))
-    return steps, dict(zip(domains, map(float, aim)))
+    return steps, dict(zip(domains, map(float, have - aim)))
 
 
 def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry: list[str], ridge: float) -> DataFrame:
@@ -146,7 +148,9 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry:
     sums = rows.join(known, "id").groupBy("domain").agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m_{x}") for x in _X), *(F.var_pop(x).alias(f"v_{x}") for x in _X)).collect()  # a row a domain
     posterior = [f"{p} AS p_{d}" for d, p in zip(domains, _posteriors(sums, domains))]
     scored = rows.selectExpr("own", "draw", "tokens", *posterior)
-    steps, _ = fit_rates(stored(scored.drop("own", "draw"), "posteriors"), targets, ridge)
+    steps, off = fit_rates(stored(scored.drop("own", "draw"), "posteriors"), targets, ridge)
+    if missed := {d: round(e, 4) for d, e in off.items() if abs(e) >= MISSED}:
+        logging.getLogger(__name__).warning("expected shares that miss their targets, by: %s", missed)
     out = scored.withColumn("rate", rate(domains, steps, ridge))
     return out.selectExpr("own", "tokens", *(f"p_{d}" for d in domains), "rate", "int(floor(rate + pmod(draw, 1048576) / 1048576D)) AS copies")
 
