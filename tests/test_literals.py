@@ -271,3 +271,12 @@ def test_enrichment_and_history(spark):
     rows = spark.createDataFrame([(k, k * S, "a") for k in range(10)], "seq long, ts_ns long, key string")
     assert sorted(r.seq for r in history.ring(rows, "key", 4, 9 * S, 2 * S).collect()) == [7, 8, 9] and history.ring(rows, "key", 0).count() == 10
     assert np.array_equal([r.seq for r in history.bootstrap(rows, "key", 3 * S).orderBy("seq").collect()], [0, 1, 2, 3])
+
+
+def test_dirfd_paths_have_no_depth_limit(spark):
+    rows = [(1, 1, 1, 1, -100, "/top")] + [(k, k, 1, k, k - 1, f"d{k}") for k in range(2, 24)] + [(100 + k, 100 + k, 2, k, k - 1, f"e{k}") for k in range(2, 9)] + [(200, 200, 1, 90, 23, None)]
+    opens = spark.createDataFrame(rows, "seq long, ts_ns long, pid long, fd int, dirfd int, path string")
+    full = {r.seq: r.full for r in enrich.dirfd_paths(opens).collect()}
+    assert len(full) == len(rows) and full[200] == full[23]
+    assert all(full[k] == "/".join(["/top", *(f"d{j}" for j in range(2, k + 1))]) for k in range(1, 24))
+    assert all(full[100 + k] is None for k in range(2, 9))
