@@ -1,16 +1,12 @@
-"""Scratch tables and small helpers that the text operators share."""
+"""Small helpers that the text operators share."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import stored  # noqa: F401  for the operators
+
 #: What separates words: space and the ASCII controls 0x09-0x0D, as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -26,27 +22,6 @@ def drop_caches() -> None:
         drop()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or f"file://{_own_dir()}"
-
-
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="tidewell-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,8 @@
 3. Each shard builds a compressed FM-index of its segments and streams them
    through backward search; windows with two occurrences are reported.
 
-Words are known by their 64-bit hashes.  Equal texts are handled once: with two
+Words are known by 64-bit hashes, a sum of mixed (byte, place) pairs that no
+regular pattern of bytes cancels.  Equal texts are handled once: with two
 copies of a text, all its windows recur.
 """
 
@@ -34,6 +35,7 @@ CROWD = 256
 #: Texts hashed together: bounds the arrays of a task.
 _BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
+_SALT = np.uint64(0xA0761D6478BD642F)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,6 +64,18 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.ui
     return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _word_hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each joined[start:end]: every byte is mixed with its place in the word before the sum."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    begin = np.zeros(len(joined), dtype=np.int64)
+    begin[starts] = np.diff(starts, prepend=0)
+    place = (np.arange(len(joined)) - np.cumsum(begin)).astype(np.uint64)
+    mixed = _mix((place << np.uint64(8) | joined.astype(np.uint64)) * _R + _SALT)
+    edges = np.stack([starts, ends], axis=1).reshape(-1)  # a gap follows every word, so ends are places too
+    return _mix(np.add.reduceat(mixed, edges)[::2] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """The words of several texts: hashes, and where each text's words begin."""
 
@@ -70,8 +84,8 @@ class Words:
         gap = (joined == 32) | ((joined >= 9) & (joined <= 13))
         edge = np.diff(gap.astype(np.int8), prepend=1)
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.hash = _spans(joined.astype(np.uint64) + np.uint64(1), starts, ends, _R)
         self.size = ends - starts
+        self.hash = _word_hashes(joined, starts, ends)
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(starts, begin)
 
