@@ -26,46 +26,57 @@ LEAST_DOCS = 3
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 
-#: Stands for a separator inside a candidate, so that the patterns need no repeated groups (whose matching recurses in Java).
+#: Stands for a letter of a base span, only where words are sought; a text's own ones are no letters and become blanks there.
 _P = "￿"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def _running(values: str, step: str) -> str:
+    """SQL: the running sums (or other `step`s of x and y) of an array of ints, doubling the reach: n log n operations."""
+    reach = "shiftleft(1, k)"
+    joined = step.format(x="x", y=f"acc[i - {reach}]")
+    return f"aggregate(sequence(0, 30), {values}, (acc, k) -> CASE WHEN {reach} < size(acc) THEN transform(acc, (x, i) -> CASE WHEN i >= {reach} THEN {joined} ELSE x END) ELSE acc END)"
+
+
+_SUM = "{x} + {y}"
+_MOST = "greatest({x}, {y})"
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL: `body` with `name` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _pieces(text: str, pattern: str) -> str:
+    """SQL: what `split` leaves between the matches of `pattern`, and these; the last piece has no match."""
+    return f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, m) -> named_struct('g', g, 'm', m))"
+
+
 def _found(text: str, pattern: str) -> str:
-    """SQL: the matches of `pattern` with their places in code points, from what `split` leaves between them."""
-    return f"""aggregate(
-        zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, m) -> named_struct('g', length(g), 'm', m)),
-        named_struct('at', 0, 'out', CAST(array() AS {_SPAN})),
-        (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE named_struct(
-            'at', acc.at + x.g + length(x.m),
-            'out', array_append(acc.out, named_struct('start', acc.at + x.g, 'end', acc.at + x.g + length(x.m), 'value', x.m))) END,
-        acc -> acc.out)"""
+    """SQL: the matches of `pattern` with their places in code points."""
+    ends = _running("transform(p, x -> length(x.g) + coalesce(length(x.m), 0))", _SUM)
+    spans = f"zip_with(p, {ends}, (x, e) -> CASE WHEN x.m IS NOT NULL THEN named_struct('start', e - length(x.m), 'end', e, 'value', x.m) END)"
+    return f"filter({_bound(_pieces(text, pattern), 'p', spans)}, s -> s IS NOT NULL)"
 
 
-_EMAIL = rf"(?:\G|(?<![A-Za-z0-9._%+\-{_P}]))[A-Za-z0-9._%+\-{_P}]++@[A-Za-z0-9-]++{_P}[A-Za-z0-9\-{_P}]*+"
+# Repeated groups are possessive: Java matches these in a loop, others by recursion.
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_CARD = rf"[0-9][0-9{_P}]{{13,}}"
+_CARD = r"[0-9](?:[\x20\-]?[0-9]){13,}+"
+_DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
 _LUHN = """aggregate(sequence(1, length(s.value)), 0, (sum, k) -> sum + CASE WHEN k % 2 = 1 THEN int(substring(s.value, length(s.value) - k + 1, 1))
     ELSE int(substring('0246813579', int(substring(s.value, length(s.value) - k + 1, 1)) + 1, 1)) END) % 10 = 0"""
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    clean = f"replace(text, '{_P}', ' ')"
-    dotted = rf"regexp_replace({clean}, r'(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])', '{_P}')"
-    dashed = rf"regexp_replace({clean}, r'(?<=[0-9])[ -](?=[0-9])', '{_P}')"
     none = f"CAST(array() AS {_SPAN})"
     df = docs.selectExpr(
         "*",
-        f"CASE WHEN contains(text, '@') THEN {dotted} END AS dotted",
-        rf"CASE WHEN text rlike r'[0-9](?:[ -]?[0-9]){{13}}' THEN {dashed} END AS dashed",
-    )
-    df = df.selectExpr(
-        "* EXCEPT (dotted, dashed)",
-        f"CASE WHEN dotted IS NOT NULL THEN transform({_found('dotted', _EMAIL)}, s -> named_struct('start', s.start, 'end', s.end, 'value', replace(s.value, '{_P}', '.'))) ELSE {none} END AS emails",
+        f"CASE WHEN contains(text, '@') THEN {_found('text', _EMAIL)} ELSE {none} END AS emails",
         rf"CASE WHEN text rlike r'[0-9]\.[0-9]+\.[0-9]' THEN filter({_found('text', _IP)}, s -> forall(split(s.value, r'\.'), p -> p rlike '^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$')) ELSE {none} END AS ips",
-        f"CASE WHEN dashed IS NOT NULL THEN transform({_found('dashed', _CARD)}, s -> named_struct('start', s.start, 'end', s.end, 'value', replace(s.value, '{_P}', ''))) ELSE {none} END AS runs",
-        f"CASE WHEN contains(text, '+') THEN filter({_found('text', _PHONE)}, s -> length(regexp_replace(s.value, '[^0-9]', '')) BETWEEN 10 AND 15) ELSE {none} END AS phones",
+        rf"CASE WHEN text rlike r'[0-9](?:[ -]?[0-9]){{13}}' THEN transform({_found('text', _CARD)}, s -> named_struct('start', s.start, 'end', s.end, 'value', {_DIGITS})) ELSE {none} END AS runs",
+        f"CASE WHEN contains(text, '+') THEN filter({_found('text', _PHONE)}, s -> length({_DIGITS}) BETWEEN 10 AND 15) ELSE {none} END AS phones",
     )
     kind = "transform({0}, s -> named_struct('start', s.start, 'kind', {1}, 'end', s.end, 'value', s.value))"
     cards = f"filter(runs, s -> length(s.value) BETWEEN 14 AND 19 AND {_LUHN})"
@@ -81,13 +92,26 @@ _CLEAR = f"NOT contains(w, '{_P}')"
 
 
 def _masked(df: DataFrame) -> DataFrame:
-    """Adds `masked`: the text, code point for code point, with the letters of the spans masked."""
-    text = f"replace(text, '{_P}', ' ')"
-    inside = f"regexp_replace(substring({text}, greatest(acc.at, s.start) + 1, s.end - greatest(acc.at, s.start)), r'\\p{{L}}', '{_P}')"
-    masked = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (acc, s) -> CASE WHEN s.end <= acc.at THEN acc ELSE named_struct(
-            'at', s.end, 'out', concat(acc.out, CASE WHEN s.start > acc.at THEN substring({text}, acc.at + 1, s.start - acc.at) ELSE '' END, {inside})) END,
-        acc -> concat(acc.out, substring({text}, acc.at + 1, length(text))))"""
-    return df.withColumn("masked", F.expr(f"CASE WHEN size(spans) = 0 THEN {text} ELSE {masked} END"))
+    """Adds `masked`: the text, code point for code point, with the letters of the spans masked; only addresses have letters."""
+    pieces = f"transform({_pieces('text', _EMAIL)}, x -> concat(replace(x.g, '{_P}', ' '), coalesce(regexp_replace(x.m, '[A-Za-z]', '{_P}'), '')))"
+    return df.withColumn("masked", F.expr(f"CASE WHEN contains(text, '@') THEN array_join({pieces}, '') ELSE replace(text, '{_P}', ' ') END"))
+
+
+#: A text's terms are sought one by one up to so many, by halves beyond.
+_FEW = 8
+
+
+def _term_spans() -> str:
+    """SQL: the spans of the words that are among `hits`, sorted (term, kind) of a text."""
+    halves = """aggregate(sequence(0, 31), named_struct('a', 0, 'b', size(terms)), (r, k) -> CASE
+        WHEN r.a >= r.b THEN r
+        WHEN terms[shiftright(r.a + r.b, 1)] < x.w THEN named_struct('a', shiftright(r.a + r.b, 1) + 1, 'b', r.b)
+        ELSE named_struct('a', r.a, 'b', shiftright(r.a + r.b, 1)) END, r -> CASE WHEN r.a < size(terms) AND terms[least(r.a, size(terms) - 1)] = x.w THEN r.a + 1 ELSE 0 END)"""
+    place = f"CASE WHEN x.w IS NULL THEN 0 WHEN size(terms) <= {_FEW} THEN int(array_position(terms, x.w)) ELSE {halves} END"
+    words = f"zip_with(split(masked, r'{_WORD}', -1), regexp_extract_all(masked, r'{_WORD}', 0), (g, w) -> named_struct('n', length(g) + coalesce(length(w), 0), 'own', length(w), 'w', lower(w)))"
+    ends = _running("transform(p, x -> x.n)", _SUM)
+    spans = f"zip_with(transform(p, x -> named_struct('own', x.own, 'at', {place})), {ends}, (x, e) -> CASE WHEN x.at > 0 THEN named_struct('start', e - x.own, 'kind', kinds[x.at - 1], 'end', e) END)"
+    return f"filter({_bound(words, 'p', spans)}, s -> s IS NOT NULL)"
 
 
 def personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, least_docs: int = LEAST_DOCS, carry: list[str] | None = None) -> DataFrame:
@@ -122,18 +146,10 @@ def personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_
     )
     # Stored, so that their sizes are known before words and texts are dealt out for the joins.
     shown = stored(shown, "terms")
-    hits = words.select("row", F.explode("words").alias("term")).join(shown, "term").groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("hits"))  # a text's own terms
-    hits = stored(hits, "hits")
+    hits = words.select("row", F.explode("words").alias("term")).join(shown, "term").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "kind"))).alias("hits"))  # a text's own terms
+    hits = stored(hits.select("row", F.col("hits.term").alias("terms"), F.col("hits.kind").alias("kinds")), "hits")
     base = "transform(spans, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
-    added = rf"""aggregate(
-        zip_with(split(masked, r'{_WORD}', -1), regexp_extract_all(masked, r'{_WORD}', 0), (g, w) -> named_struct('g', length(g), 'n', length(w), 'low', lower(w))),
-        named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,kind:int,end:int>>)),
-        (acc, x) -> CASE WHEN x.low IS NULL THEN acc ELSE named_struct(
-            'at', acc.at + x.g + x.n,
-            'out', CASE WHEN array_contains(hits.term, x.low)
-                   THEN array_append(acc.out, named_struct('start', acc.at + x.g, 'kind', hits[int(array_position(hits.term, x.low) - 1)].kind, 'end', acc.at + x.g + x.n)) ELSE acc.out END) END,
-        acc -> acc.out)"""
-    out = rows.join(hits, "row", "left").withColumn("found", F.expr(f"CASE WHEN hits IS NULL THEN {base} ELSE sort_array(concat({base}, {added})) END"))
+    out = rows.join(hits, "row", "left").withColumn("found", F.expr(f"CASE WHEN terms IS NULL THEN {base} ELSE sort_array(concat({base}, {_term_spans()})) END"))
     return out.select(*(F.when(~F.col("blank"), F.col("text")).alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in carry), F.col("found").alias("spans"))
 
 
@@ -152,11 +168,26 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+#: A text is cut into blocks of so many code points (a power of two), so that a place in it is found without reading all that comes before.
+_BLOCK_BITS = 10
+
+
 def sanitised(found: DataFrame) -> DataFrame:
-    """The rows of personal_data() with their text rewritten; of spans that overlap the first one names the mark."""
-    marks = ", ".join(f"'{m}'" for m in MARKS)
-    text = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (acc, s) -> named_struct(
-            'at', greatest(acc.at, s.end),
-            'out', CASE WHEN s.start < acc.at THEN acc.out ELSE concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), element_at(array({marks}), s.kind + 1)) END),
-        acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))"""
+    """The rows of personal_data() with their text rewritten; of spans that overlap the first one names the mark.
+
+    A term is generalised to what it looks like: a name, an abbreviation, any other term.
+    """
+    marks, low = ", ".join(f"'{m}'" for m in MARKS), (1 << _BLOCK_BITS) - 1
+    cut = lambda a, b: (
+        f"CASE WHEN {b} > {a} THEN substring(array_join(slice(z.blocks, shiftright({a}, {_BLOCK_BITS}) + 1, shiftright({b} - 1, {_BLOCK_BITS}) - shiftright({a}, {_BLOCK_BITS}) + 1), ''), ({a} & {low}) + 1, {b} - {a}) ELSE '' END"
+    )
+    before = "CASE WHEN i = 0 THEN 0 ELSE z.upto[i - 1] END"
+    word = cut("s.start", "s.end")
+    general = rf"CASE WHEN {word} rlike r'^\p{{Lu}}{{2}}' THEN '[ABBREVIATION]' WHEN {word} rlike r'^\p{{Lu}}' THEN '[NAME]' ELSE '[TERM]' END"
+    mark = f"CASE WHEN s.kind = {KINDS.index('generalise')} THEN {general} ELSE element_at(array({marks}), s.kind + 1) END"
+    parts = f"transform(spans, (s, i) -> CASE WHEN s.start < {before} THEN '' ELSE concat({cut(f'({before})', 's.start')}, {mark}) END)"
+    blocks = rf"CASE WHEN length(text) <= {low + 1} THEN array(text) ELSE regexp_extract_all(text, r'(?s).{{1,{low + 1}}}', 0) END"
+    upto = _running("transform(spans, s -> s.end)", _MOST)
+    whole = f"concat(array_join({parts}, ''), {cut('z.upto[size(z.upto) - 1]', 'z.n')})"
+    text = _bound(f"named_struct('blocks', {blocks}, 'upto', {upto}, 'n', length(text))", "z", whole)
     return found.withColumn("text", F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE {text} END")).drop("spans")
