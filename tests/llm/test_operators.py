@@ -74,6 +74,20 @@ def test_substring_dedup(docs, empty):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in texts)
 
 
+def thue_morse(n, letters):
+    return "".join(letters[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_of_a_regular_pattern_differ(spark):
+    """Words that polynomials modulo a power of two can't tell apart: no window of these texts recurs."""
+    for n in (1024, 2048, 4096):
+        a, b = thue_morse(n, "ab"), thue_morse(n, "ba")
+        assert len(set(substring_dedup.Words([f"{a} {b} {a}x".encode()]).hash.tolist())) == 3
+        words = prose(41, 31).split()
+        rows = [(k, " ".join([*words[:20], w, *words[21:]])) for k, w in enumerate((a, b))]
+        assert [r.n_removed for r in substring_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(3)
     segments = [rng.integers(0, 4, size=n).astype(np.uint64) for n in rng.integers(6, 40, size=60)]
@@ -274,7 +288,7 @@ def plain_spans(t):
 
 
 ODD = ["a@b.c_d@e.f x", "é a@b.c.d. 😀 x.y@z-w.co.", "a@b.c-d@e.f", "..@a.b", "a@b..c", "1.2.3.4.5.6.7.8", "1.2.3.256 300.1.1.1 000255.1.1.1", "4111  1111 1111 1111", "++1 555 123 4567", " ".join(str(k % 10) for k in range(9000)),
-       "a" * 50_000, "1" * 50_000, "a." * 20_000 + "@x.y", "x@" + "a." * 20_000 + "b", "+" + "1 " * 20_000, "a@b.c￿d@e.f", "+1((((((("]
+       "a" * 50_000, "1" * 50_000, "a." * 20_000 + "@x.y", "x@" + "a." * 20_000 + "b", "+" + "1 " * 20_000, "a@b.c￿d@e.f", "+1(((((((", "4111￿1111 1111 1111 zz 12345678901234567890", "￿a@b.c￿d", "éa@b.c￿ x@y.zé"]
 
 
 def test_personal_data(spark, docs, empty):
@@ -292,6 +306,67 @@ def test_personal_data(spark, docs, empty):
     assert clean[17].startswith("mail [EMAIL], [PHONE], [IP], [CARD]. é😀") and clean[0] is None and clean[6] == TEXTS[6]
 
 
+def test_many_spans_and_long_texts(spark):
+    """A hundred thousand addresses in one text, and every place of a sanitised long text against plain cutting."""
+    many = " ".join(f"Name user{k}@mail{k % 7}.example.org wrote" for k in range(100_000))
+    (row,) = disclosure.sanitised(disclosure.personal_data(spark.createDataFrame([(1, many)], "doc_id long, text string"))).collect()
+    assert row.text == " ".join(["Name [EMAIL] wrote"] * 100_000)
+    r = random.Random(3)
+    parts = ["+4111 1111 1111 1111", "a.b@c.de", "10.0.0.1", "4111-1111-1111-1111", "→😀", "=? ", "￿", " "]
+    texts = ["".join(r.choice(parts) for _ in range(r.choice((3, 40, 2000)))) for _ in range(12)]
+    for row in disclosure.sanitised(disclosure.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect():
+        want, at = "", 0
+        for a, k, b in plain_spans(texts[row.doc_id]):
+            if a >= at:
+                want += texts[row.doc_id][at:a] + disclosure.MARKS[k]
+            at = max(at, b)
+        assert row.text == want + texts[row.doc_id][at:]
+
+
+def plain_terms(rows, generalise_at=0.8, remove_at=0.95, least=3):
+    """term -> kind by plain counting."""
+    from math import log2
+
+    docs = []
+    for _, t in rows:
+        t = t or ""
+        spans = plain_spans(t)
+        clean = re.compile(r"[^\W\d_]{3,}")
+        covered = {p for a, _, b in spans for p in range(a, b)}
+        words = {m[0].lower() for m in clean.finditer(t) if not covered & set(range(*m.span()))}
+        docs.append((words, {re.sub(r"\D", "", t[a:b]) if k == 2 else t[a:b] for a, k, b in spans}))
+    n, n_term = len(docs), Counter(w for ws, _ in docs for w in ws)
+    n_entity, co = Counter(e for _, es in docs for e in es), Counter((w, e) for ws, es in docs for e in es for w in ws)
+    found = {}
+    for (w, e), c in co.items():
+        own = log2(n / n_entity[e])
+        if c >= least and own > 0 and (share := log2(c * n / (n_entity[e] * n_term[w])) / own) >= generalise_at:
+            found[w] = max(found.get(w, 0), 5 if share >= remove_at else 4)
+    return found
+
+
+def test_disclosure_against_plain_counts(spark):
+    r = random.Random(9)
+    names = [f"Nam{x}" for x in "abcdefghijklmnopqrst"]
+    rows = [(k, " ".join([*(r.choice(VOCABULARY) for _ in range(r.randint(0, 12))), (n := r.choice(names)), f"{n.lower()}@x.org" if r.random() < 0.6 or n < "Name" else "y", *r.choices(names[4:], k=r.randint(0, 2))])) for k in range(400)]
+    want = plain_terms(rows)
+    assert {4, 5} <= set(want.values())
+    for row in disclosure.digest(disclosure.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        t = rows[row.doc_id][1]
+        spans = plain_spans(t)
+        covered = {p for a, _, b in spans for p in range(a, b)}
+        spans += [(m.start(), want[m[0].lower()], m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in want and not covered & set(range(*m.span()))]
+        assert row.spans == ",".join(f"{disclosure.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), t
+
+
+def test_many_terms_of_a_text(spark):
+    """More terms than are sought one by one."""
+    words = sorted({"".join(RNG.choices("klmnopqrst", k=6)) for _ in range(60)})
+    rows = [(k, " ".join(words) + " q@r.org") for k in range(5)] + [(10 + k, prose(20, k)) for k in range(200)] + [(500, words[3] + " " + words[50].upper() + " x " + words[0] + "s")]
+    text = {r.doc_id: r.text for r in disclosure.sanitised(disclosure.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert text[0].split() == ["[EMAIL]"] and text[500].split() == ["x", words[0] + "s"] and text[10] == rows[5][1]
+
+
 def test_terms_that_disclose(spark):
     rows = [(k, f"the office of Zorblax writes: zor@blax.org about {prose(9, k)} the end") for k in range(6)]
     rows += [(10 + k, f"the office of many writes {prose(9, 50 + k)} the end") for k in range(60)] + [(90, "the office: other@mail.org wrote")]
@@ -371,7 +446,7 @@ def test_prefix_forest(spark):
     rows = [(k, [float(x) for x in v], "extra") for k, v in enumerate(vectors)]
     rows += [(3000, None, "x"), (3020, [], "x"), (3040, [0.0] * 24, "x"), (3060, [float("nan")] + [1.0] * 23, "x"), (3080, [None] + [1.0] * 23, "x"), (None, [1.0] * 24, "x"), (3100, [1.0, 2.0], "x"), (3120, [2.0, 1.0], "x"), (20, rows[20][1], "again")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string")
-    got = prefix_forest.nearest(df, df.where("vec_id % 20 = 0"), least=600).collect()
+    got = prefix_forest.nearest(df, df.where("vec_id % 20 = 0"), block=1200).collect()
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -389,6 +464,27 @@ def test_prefix_forest(spark):
     assert prefix_forest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_forest_looks_at_a_part(spark):
+    """Of the driver's own table: what the trees hold, by share and recall, and the same answers through the query."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = rows.orderBy("vec_id").collect()
+    ids, vectors = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=float)
+    wanted = np.flatnonzero(ids % 20 == 0)
+    forest, looked, hits, want = prefix_forest.Forest(vectors), 0, 0, {}
+    for q, found in zip(wanted, forest.candidates(vectors[wanted], int(prefix_forest.SHARE * len(ids)))):
+        found = found[found != q]
+        exact = sorted((k for k in range(len(ids)) if k != q), key=lambda k: (-(vectors[k] * vectors[q]).sum(), ids[k]))[:20]
+        looked += len(found) / len(ids)
+        hits += len(set(found) & set(exact)) / 20
+        near, scores = prefix_forest.best_of(found, ids, vectors, vectors[q], 20)
+        want[int(ids[q])] = list(zip(near.tolist(), scores.tolist()))
+    assert looked / len(wanted) < 0.65 and hits / len(wanted) > 0.93
+    got = {}
+    for r in prefix_forest.nearest(rows, rows.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+
+
 def test_quality(spark, docs, labels, empty):
     scored = quality_qda.classify(docs, labels).collect()
     assert len(scored) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
