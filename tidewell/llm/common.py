@@ -31,3 +31,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: A sorted array is looked through one by one up to so many values, by halves beyond.
+_FEW = 8
+
+
+def place_in(values: str, value: str) -> str:
+    """SQL: the place (from 1) of `value` in the sorted array `values`, 0 where it is not there."""
+    middle = "shiftright(r.a + r.b, 1)"
+    halves = f"""aggregate(sequence(0, 31), named_struct('a', 0, 'b', size({values})), (r, k) -> CASE
+        WHEN r.a >= r.b THEN r
+        WHEN {values}[{middle}] < {value} THEN named_struct('a', {middle} + 1, 'b', r.b)
+        ELSE named_struct('a', r.a, 'b', {middle}) END,
+        r -> CASE WHEN r.a < size({values}) AND {values}[least(r.a, size({values}) - 1)] = {value} THEN r.a + 1 ELSE 0 END)"""
+    return f"CASE WHEN {value} IS NULL THEN 0 WHEN size({values}) <= {_FEW} THEN int(array_position({values}, {value})) ELSE {halves} END"

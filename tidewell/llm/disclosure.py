@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import place_in, stored, text_of
 
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
@@ -97,20 +97,11 @@ def _masked(df: DataFrame) -> DataFrame:
     return df.withColumn("masked", F.expr(f"CASE WHEN contains(text, '@') THEN array_join({pieces}, '') ELSE replace(text, '{_P}', ' ') END"))
 
 
-#: A text's terms are sought one by one up to so many, by halves beyond.
-_FEW = 8
-
-
 def _term_spans() -> str:
-    """SQL: the spans of the words that are among `hits`, sorted (term, kind) of a text."""
-    halves = """aggregate(sequence(0, 31), named_struct('a', 0, 'b', size(terms)), (r, k) -> CASE
-        WHEN r.a >= r.b THEN r
-        WHEN terms[shiftright(r.a + r.b, 1)] < x.w THEN named_struct('a', shiftright(r.a + r.b, 1) + 1, 'b', r.b)
-        ELSE named_struct('a', r.a, 'b', shiftright(r.a + r.b, 1)) END, r -> CASE WHEN r.a < size(terms) AND terms[least(r.a, size(terms) - 1)] = x.w THEN r.a + 1 ELSE 0 END)"""
-    place = f"CASE WHEN x.w IS NULL THEN 0 WHEN size(terms) <= {_FEW} THEN int(array_position(terms, x.w)) ELSE {halves} END"
+    """SQL: the spans of the words that are among `terms`, the sorted terms of a text, with their `kinds`."""
     words = f"zip_with(split(masked, r'{_WORD}', -1), regexp_extract_all(masked, r'{_WORD}', 0), (g, w) -> named_struct('n', length(g) + coalesce(length(w), 0), 'own', length(w), 'w', lower(w)))"
     ends = _running("transform(p, x -> x.n)", _SUM)
-    spans = f"zip_with(transform(p, x -> named_struct('own', x.own, 'at', {place})), {ends}, (x, e) -> CASE WHEN x.at > 0 THEN named_struct('start', e - x.own, 'kind', kinds[x.at - 1], 'end', e) END)"
+    spans = f"zip_with(transform(p, x -> named_struct('own', x.own, 'at', {place_in('terms', 'x.w')})), {ends}, (x, e) -> CASE WHEN x.at > 0 THEN named_struct('start', e - x.own, 'kind', kinds[x.at - 1], 'end', e) END)"
     return f"filter({_bound(words, 'p', spans)}, s -> s IS NOT NULL)"
 
 
