@@ -1,11 +1,13 @@
 """Quality rules from cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised (lower case, digits to 0, white space to one blank) and
-hashed; each distinct text of a host counts once for a line, so groups of copies
-do not make their own lines frequent.  A line that more than
-max(`min_docs`, `share` x texts of that host) texts hold is removed from every
-text; a document that keeps less than `keep_share` of its words is depleted and
-rejected.
+hashed, and for each host the distinct documents that hold a line are counted.
+A line that more than `most_docs` documents of its host hold is removed from all
+of the host's texts, however large the host; a document that keeps less than
+`keep_share` of its words is depleted and rejected.
+
+Rows with equal texts are one document, so that a group of copies does not make
+its own lines frequent; with `copies` every row is a document.
 """
 
 from __future__ import annotations
@@ -13,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, stored, text_of
+from .common import GAP, WORD, place_in, stored, text_of
 
-MIN_DOCS = 25
-SHARE = 0.01
+MOST_DOCS = 25
 KEEP_SHARE = 0.3
 
 #: Words that windows of three found twice or more cover: sort the window hashes with their places; a place counts when a neighbour in that order has its hash.
@@ -61,40 +62,34 @@ def _measured(docs: DataFrame, host: str, carry: list[str]) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE, carry: list[str] | None = None) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, keep_share: float = KEEP_SHARE, copies: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per row of `docs`: its columns (or those of `carry`), `text` without the frequent lines of its host, and the measures.
 
     A null text is empty (no words: base_failed); a null host is the host "".
-    Repeated rows are judged alike and count once.  Two windows are taken as
-    equal when their 64-bit hashes are; likewise lines.  Lines end at a line
-    feed, which goes with its line; blank lines stay.  The measures but
-    n_frequent_words and kept are those of the text as it came in.  Columns of
-    `docs` that are named like a measure are left out.
+    Repeated rows are judged alike.  Two windows are taken as equal when their
+    64-bit hashes are; likewise lines.  Lines end at a line feed, which goes with
+    its line; blank lines stay.  The measures but n_frequent_words and kept are
+    those of the text as it came in.  Columns of `docs` that are named like a
+    measure are left out.
     """
     carry = [c for c in carry or docs.columns if c not in ("text", *MEASURES)]
     rows = stored(_measured(docs, host, carry), "lines")
-    texts = rows.groupBy("host", "content").agg(F.count("*").alias("rows_")).groupBy("host").agg(F.count("*").alias("texts"))
-    held = rows.select("host", "content", F.explode(F.expr("array_distinct(filter(lines.hash, h -> h IS NOT NULL))")).alias("hash")).distinct()
-    frequent = (
-        held.groupBy("host", "hash").agg(F.count("*").alias("docs"))
-        .where(F.col("docs") > min_docs)
-        .join(texts, "host")
-        .where(F.col("docs") > F.lit(share) * F.col("texts"))
-        .groupBy("host")
-        .agg(F.collect_list("hash").alias("frequent"))  # 1 / share times the lines of a text at most
-    )
-    # Stored, so that its size is known before the texts are dealt out for the join.
-    out = rows.join(stored(frequent, "frequent"), "host", "left").withColumn("gone", F.expr("array_intersect(lines.hash, frequent)"))
-    left = "filter(lines, l -> l.hash IS NULL OR NOT array_contains(gone, l.hash))"
-    out = out.withColumn("text", F.expr(f"array_join(transform(CASE WHEN size(gone) > 0 THEN {left} ELSE lines END, l -> l.line), '\n')"))
+    held = rows.select("host", "content", F.explode(F.expr("array_distinct(filter(lines.hash, h -> h IS NOT NULL))")).alias("hash"))
+    counted = held if copies else held.distinct()
+    # Stored, so that its size is known before the lines are dealt out for the join.
+    frequent = stored(counted.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > most_docs).select("host", "hash"), "frequent")
+    gone = held.join(frequent, ["host", "hash"]).groupBy("host", "content").agg(F.sort_array(F.collect_set("hash")).alias("gone"))  # a text's own lines
+    out = rows.join(stored(gone, "gone"), ["host", "content"], "left")
+    left = f"filter(lines, l -> l.hash IS NULL OR {place_in('gone', 'l.hash')} = 0)"
+    out = out.withColumn("text", F.expr(f"array_join(transform(CASE WHEN gone IS NOT NULL THEN {left} ELSE lines END, l -> l.line), '\n')"))
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    lost = F.expr(rf"CASE WHEN size(gone) > 0 THEN n_words - regexp_count(text, r'{WORD}') ELSE 0L END")
+    lost = F.expr(rf"CASE WHEN gone IS NOT NULL THEN n_words - regexp_count(text, r'{WORD}') ELSE 0L END")
     return out.withColumn("n_frequent_words", lost).select(
         "own.*", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_frequent_words",
         (~failed & (F.col("n_words") - F.col("n_frequent_words") >= F.lit(keep_share) * F.col("n_words"))).alias("kept"),
     )
 
 
-def line_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def line_rules(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, keep_share: float = KEEP_SHARE, copies: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id and the measures of cleaned()."""
-    return cleaned(docs, host, min_docs, share, keep_share, carry=["doc_id"]).select("doc_id", *MEASURES)
+    return cleaned(docs, host, most_docs, keep_share, copies, carry=["doc_id"]).select("doc_id", *MEASURES)

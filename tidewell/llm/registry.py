@@ -82,8 +82,7 @@ l AS (SELECT doc_id, host, text, line, len(regexp_extract_all(line, '[^\x20\x09-
         trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS clean
       FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 x AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
-h AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-q AS (SELECT host, clean FROM (SELECT host, clean, count(DISTINCT text) AS docs FROM l GROUP BY host, clean) JOIN h USING (host) WHERE docs > {line_frequency.MIN_DOCS} AND docs > {line_frequency.SHARE} * texts),
+q AS (SELECT host, clean FROM l GROUP BY host, clean HAVING count(DISTINCT text) > {line_frequency.MOST_DOCS}),
 z AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS gone FROM l JOIN q USING (host, clean) GROUP BY doc_id),
 b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0) AS n_frequent_words
