@@ -55,12 +55,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
         found = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "content"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row of `docs`; fp is the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, content) for every row of `docs`; fp is the fingerprint's bits as a signed long, content a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("content", F.xxhash64("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, content long")
 
 
 def links(prints: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
@@ -124,6 +125,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
+def _placed(prints: DataFrame, hot_key: int) -> DataFrame:
+    """(fp, root, head) for each distinct fingerprint; head is its smallest (doc_id, content)."""
+    least = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "content")).alias("head"), F.min("doc_id").alias("first_id"))
+    roots = components(links(least, hot_key))
+    return least.join(roots, least.fp == roots.node, "left").select("fp", "head", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """One row per row of `docs`: doc_id, fp, fingerprint (16 hex digits), component_id.
 
@@ -133,9 +141,7 @@ def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     `docs` are not looked at.
     """
     prints = stored(fingerprints(docs), "fp")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(least, hot_key))
-    placed = least.join(roots, least.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(prints, hot_key)
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = placed.join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -144,8 +150,13 @@ def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
 def keep_firsts(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """The rows of `docs` that stand for their group: one row with the group's smallest doc_id.
 
-    Rows without a doc_id can't be named and stay as they are.
+    Of rows with that doc_id in the group, the one whose text has the smallest
+    hash stays, and of rows with the same text too, the first one as JSON.  Rows
+    without a doc_id can't be named and stay as they are.
     """
-    heads = near_duplicates(docs.where("doc_id IS NOT NULL"), hot_key).select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL")
+    prints = stored(fingerprints(named), "fp")
+    heads = _placed(prints, hot_key).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("_id"), F.col("head.content").alias("_content"))
+    own = named.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_content"))
+    kept = own.join(heads, ["_id", "_content"], "left_semi").groupBy("_id", "_content").agg(F.min_by("own", F.to_json("own")).alias("own"))
+    return kept.select("own.*").unionByName(docs.where("doc_id IS NULL"))
