@@ -25,7 +25,7 @@ from .token_ids import encoder, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, item long, part int, nth long"
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -44,6 +44,7 @@ def _pieces(path: str, end_id: int, capacity: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
+        item = part << 33
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -53,10 +54,11 @@ def _pieces(path: str, end_id: int, capacity: int, special: bool):
                     ids = np.frombuffer(raw + end, dtype="<u2")
                     for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + length]
-                        rows.append((doc_id, piece, start, length, crc_of(own), own.tobytes(), part, seen[length]))
+                        rows.append((doc_id, piece, start, length, crc_of(own), own.tobytes(), item, part, seen[length]))
                         seen[length] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"])
+                    item += 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "item", "part", "nth"])
 
     return run
 
@@ -181,7 +183,9 @@ def _places(plan: list[tuple[int, int, int, int, int]]):
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids (unsigned 16-bit, little-endian).
+    """One row a piece: doc_id, piece, start, length, ids_crc32, item, sequence_id, offset, and ids (unsigned 16-bit, little-endian).
+
+    `item` numbers the rows of `docs` (with gaps), so that the pieces of rows with equal doc_ids can be told apart.
 
     A null text is empty, and is packed as its end id alone; repeated rows are
     packed as often as they come; an empty table has no pieces.  Documents longer
@@ -193,7 +197,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacit
     counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan, _ = reduce_and_fit(counts, capacity)
     before = dealt.select("part", "length", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", "item"] + ["ids"] * with_ids
     ranked = pieces.join(before, ["part", "length"]).select(*kept, (F.col("before") + F.col("nth")).alias("rank"))
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
     return ranked.mapInArrow(_places(plan), ", ".join(f"{c} {kinds[c]}" for c in kept) + ", sequence_id long, offset long")
