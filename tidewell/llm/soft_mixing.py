@@ -16,6 +16,7 @@ one aggregate of a few sums; no rate is stored and nothing but sums is collected
 from __future__ import annotations
 
 import logging
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -109,15 +110,20 @@ def rate(domains: tuple[str, ...], steps: list[np.ndarray], ridge: float = RIDGE
     return F.expr(f"aggregate(array({moves}), 1D, (r, s) -> greatest(0D, r - ({move}) - {ridge!r}D * (r - 1D)))")
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], ridge: float = RIDGE, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[list[np.ndarray], dict[str, float]]:
-    """The gradient steps, and by domain how far the expected share is from its target after them.
+class Fit(NamedTuple):
+    """The gradient steps, by domain how far the expected share is from its target after them, and whether the shares stand still."""
 
-    Every target is fitted as it is.  A domain without any mass can't be met: its residual is its target, negative.
-    """
+    steps: list[np.ndarray]
+    off: dict[str, float]
+    settled: bool
+
+
+def fit_rates(scored: DataFrame, targets: dict[str, float], ridge: float = RIDGE, rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
+    """Every target is fitted as it is.  A domain without any mass can't be met: its residual is its target, negative."""
     domains = tuple(targets)
     tokens = scored.agg(F.sum("tokens").alias("n")).first()["n"]
     if not tokens:
-        return [], dict(targets)
+        return Fit([], {d: -share for d, share in targets.items()}, True)
     u = F.col("tokens") / F.lit(float(tokens))
     pairs = [F.sum(u * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in domains for b in domains]
     sums = np.array(scored.agg(*pairs, *(F.sum(u * F.col(f"p_{d}")) for d in domains)).first(), dtype=float)
@@ -126,15 +132,16 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], ridge: float = RIDGE
     aim = np.array([targets[d] for d in domains])
     inverse = np.linalg.inv(gram + 1e-4 * np.eye(k))
     steps: list[np.ndarray] = []
-    before = natural
+    before, settled = natural, False
     for k in range(rounds + 1):
         r = rate(domains, steps, ridge)
         have = np.array(scored.agg(*(F.sum(u * F.col(f"p_{d}") * r) for d in domains)).first(), dtype=float)
-        if np.abs(have - aim).max() < close or (steps and np.abs(have - before).max() < close) or k == rounds:
+        settled = bool(np.abs(have - aim).max() < close or (steps and np.abs(have - before).max() < close))
+        if settled or k == rounds:
             break
         before = have
         steps.append(inverse @ (have - aim))
-    return steps, dict(zip(domains, map(float, have - aim)))
+    return Fit(steps, dict(zip(domains, map(float, have - aim))), settled)
 
 
 def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry: list[str], ridge: float) -> DataFrame:
@@ -148,24 +155,30 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry:
     sums = rows.join(known, "id").groupBy("domain").agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m_{x}") for x in _X), *(F.var_pop(x).alias(f"v_{x}") for x in _X)).collect()  # a row a domain
     posterior = [f"{p} AS p_{d}" for d, p in zip(domains, _posteriors(sums, domains))]
     scored = rows.selectExpr("own", "draw", "tokens", *posterior)
-    steps, off = fit_rates(stored(scored.drop("own", "draw"), "posteriors"), targets, ridge)
-    if missed := {d: round(e, 4) for d, e in off.items() if abs(e) >= MISSED}:
-        logging.getLogger(__name__).warning("expected shares that miss their targets, by: %s", missed)
-    out = scored.withColumn("rate", rate(domains, steps, ridge))
-    return out.selectExpr("own", "tokens", *(f"p_{d}" for d in domains), "rate", "int(floor(rate + pmod(draw, 1048576) / 1048576D)) AS copies")
+    fit = fit_rates(stored(scored.drop("own", "draw"), "posteriors"), targets, ridge)
+    log = logging.getLogger(__name__)
+    if missed := {d: round(e, 4) for d, e in fit.off.items() if abs(e) >= MISSED}:
+        log.warning("expected shares that miss their targets, by: %s", missed)
+    if not fit.settled:
+        log.warning("shares still moved after %d rounds", len(fit.steps))
+    out = scored.withColumn("rate", rate(domains, fit.steps, ridge))
+    told = [f"{e!r}D AS off_{d}" for d, e in fit.off.items()]
+    return out.selectExpr("own", "tokens", *(f"p_{d}" for d in domains), "rate", "int(floor(rate + pmod(draw, 1048576) / 1048576D)) AS copies", *told, f"{len(fit.steps)} AS rounds", f"{str(fit.settled).lower()} AS settled")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: list[str] | None = None, ridge: float = RIDGE) -> DataFrame:
-    """One row per row of `docs`: its columns (or those of `carry`), tokens, p_<domain>, rate, copies.
+    """One row per row of `docs`: its columns (or those of `carry`), tokens, p_<domain>, rate, copies, off_<domain>, rounds, settled.
 
-    `copies` rounds the rate up or down by a hash of the row, so that its mean is
+    The last ones are those of the fit, alike in all rows: how far each domain's
+    expected share of the tokens is from its target, the rounds, and whether the
+    shares stood still at the end.  `copies` rounds the rate up or down by a hash of the row, so that its mean is
     the rate.  Null and empty texts have no tokens and their rate follows from
     their posterior alike; repeated rows are rated alike; without labels all
     posteriors are equal.  Columns of `docs` that are named like the result's own
     are left out.
     """
     targets = targets or TARGETS
-    made = {"tokens", "rate", "copies", *(f"p_{d}" for d in targets)}
+    made = {"tokens", "rate", "copies", "rounds", "settled", *(f"{c}_{d}" for c in ("p", "off") for d in targets)}
     found = _mixed(docs, labels, targets, [c for c in carry or docs.columns if c not in made], ridge)
     return found.select("own.*", *(c for c in found.columns if c != "own"))
 
