@@ -138,6 +138,17 @@ def test_simhash(docs, empty):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({home[f] for i, f in rows if i is not None})
 
 
+def test_simhash_ties(spark):
+    """Rows with the same doc_id: one stays for each group, whatever the order they come in."""
+    a, b = prose(120, 3), prose(200, 4)
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, a + " ", "y"), (2, b, None), (None, a, "n"), (1, a + "  ", "z")]
+    kept = []
+    for seed in range(4):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string, lang string").repartition(3)
+        kept.append(sorted((tuple(r) for r in simhash_variants.keep_firsts(df).collect()), key=key))
+    assert all(k == kept[0] for k in kept) and [r[0] for r in kept[0]] == [1, 1, None] and (1, b, "w") in kept[0] and {r[1].strip() for r in kept[0]} == {a, b}
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_simhash_links(spark, hot):
     r = random.Random(5)
@@ -170,7 +181,7 @@ def test_line_rules(spark, docs, empty):
     page = [(k, f"Shared  LINE {k % 10} of the host\n" + prose(80, 100 + k), "h") for k in range(60)]
     page[0] = (0, " ".join(f"shared{j}" for j in range(60)), "h")
     page += [(100 + k, " ".join(f"shared{j}" for j in range(60)) + f"\ntail {VOCABULARY[k]}", "h") for k in range(40)]
-    rows = {r.doc_id: r for r in line_frequency.line_rules(spark.createDataFrame(page, "doc_id long, text string, source string"), min_docs=25).collect()}
+    rows = {r.doc_id: r for r in line_frequency.line_rules(spark.createDataFrame(page, "doc_id long, text string, source string")).collect()}
     assert all(not rows[100 + k].kept and rows[100 + k].n_frequent_words == 60 for k in range(40)) and not rows[0].kept
     assert all(rows[k].kept and rows[k].n_frequent_words == 6 for k in range(1, 60))
 
@@ -188,6 +199,20 @@ def test_frequent_lines_are_removed(spark):
     assert (rows[92].text, rows[92].n_frequent_words, rows[92].kept) == ("", 6, False)
 
 
+def test_frequent_lines_of_a_large_host(spark):
+    """The limit is absolute: a line of 26 texts among 4000 goes, one of 25 stays; copies count once, or as often as they come if asked."""
+    rows = [(k, ("spread line\n" if k < 26 else "rare line\n" if k < 51 else "") + prose(60, 1000 + k % 400) + f" {k // 400}x{k}", "h") for k in range(4000)]
+    rows += [(5000 + k, "copied line\n" + prose(60, 5), "h") for k in range(40)]
+    many = "\n".join(f"line {chr(97 + k % 26)}{chr(97 + k // 26)} of the many" for k in range(300))
+    rows += [(6000 + k, many + "\n" + prose(600, 6000 + k), "m") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_frequency.cleaned(df).collect()}
+    assert got[3].n_frequent_words == 2 and not got[3].text.startswith("spread") and got[30].text.startswith("rare") and got[5001].text.startswith("copied") and got[5001].kept
+    assert all(got[6000 + k].text == prose(600, 6000 + k) and got[6000 + k].n_frequent_words == 1500 and not got[6000 + k].kept for k in range(30))
+    counted = {r.doc_id: r for r in line_frequency.cleaned(df, copies=True).collect()}
+    assert counted[5001].text == "" and not counted[5001].kept and counted[3].text == got[3].text
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 
@@ -254,6 +279,10 @@ def test_packing(docs, empty):
             at += length
         assert at <= 256
     assert sum(r.length for r in found) == sum(len(by_id[i]) * c for i, c in copies.items())
+    items = {}
+    for r in found:
+        items.setdefault(r.item, []).append((r.doc_id, r.start, r.length))
+    assert len(items) == len(ROWS) and all(len({d for d, _, _ in x}) == 1 and sum(n for _, _, n in x) == len(by_id[x[0][0]]) for x in items.values())
     assert dominance_packing.pack(empty).count() == 0
 
 
@@ -540,6 +569,59 @@ def test_quality(spark, docs, labels, empty):
     assert quality_qda.keep_good(docs, labels).columns == docs.columns and quality_qda.keep_good(empty, labels).count() == 0
 
 
+def plain_statistics(text):
+    from math import log, log1p, sqrt
+
+    t = (text or "").encode()
+    words = t.split()
+    n, lines = len(words), t.split(b"\n")
+    share = lambda part, whole: log((part + 0.5) / (whole + 5))
+    of = lambda chars: sum(c in chars for c in t)
+    upper, lower = bytes(range(65, 91)), bytes(range(97, 123))
+    size = [len(w) for w in words]
+    total, mean = sum(size), sum(size) / max(n, 1)
+    spread = sqrt(max(sum(x * x for x in size) / max(n, 1) - mean**2, 0))
+    grams = [tuple(words[k : k + 3]) for k in range(n - 2)]
+    return [
+        log1p(n), log1p(mean), log1p(spread), share(of(b"#*$%&<>"), total), share(of(b"!?"), total), share(of(upper), of(upper) + of(lower)), share(of(b"0123456789"), total), share(of(b".,;:"), total), share(of(b"|"), total),
+        len(set(words)) / max(n, 1), share(len(lines) - len(set(lines)), len(lines)), log1p(n / len(lines)), share(max(Counter(words).values(), default=0), n), sum(x <= 3 for x in size) / max(n, 1), share(len(grams) - len(set(grams)), len(grams)),
+    ]
+
+
+def test_quality_against_plain_discriminant(spark, docs, labels):
+    """Statistics text by text, class sums row by row, densities by solving with the covariances themselves."""
+    texts = [t for _, t in ROWS]
+    plain = np.array([plain_statistics(t) for t in texts])
+    fast = quality_qda.statistics([(t or "").encode() for t in texts])
+    assert np.allclose(plain, fast, rtol=0, atol=1e-6)
+    extra = [(k, (" ".join(random.Random(k).choices(["buy", "now", "$$$", "CHEAP", "x|y", "!!", "7"], k=60)) if k % 2 else prose(40 + k, k) + ".\n" + prose(9, k))) for k in range(100, 160)]
+    rows = ROWS + extra
+    marked = {i: int(i % 2 == 0) for i in [*range(20), *range(100, 160)]}
+    got = Counter()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, q, 0) for i, q in marked.items()] + [(None, 1, 0), (101, None, 1)], "doc_id long, quality int, toxic int")
+    x = np.array([plain_statistics(t) for _, t in rows])
+    learn = [k for k, (i, _) in enumerate(rows) if i in marked and zlib.crc32(str(i).encode()) % 3 != 1]
+    y = np.array([marked.get(i, -1) for i, _ in rows])
+    mean, scale = x[learn].mean(axis=0), np.maximum(x[learn].std(axis=0), 1e-9**0.5)
+    z = (x - mean) / scale
+    cov = [np.cov(z[[k for k in learn if y[k] == c]].T, bias=True) for c in (0, 1)]
+    share = [np.mean(y[learn] == c) for c in (0, 1)]
+    pooled = share[0] * cov[0] + share[1] * cov[1]
+    density = []
+    for c in (0, 1):
+        s = 0.95 * (0.7 * cov[c] + 0.3 * pooled) + 0.05 * np.eye(x.shape[1])
+        d = np.clip(z, -8, 8) - z[[k for k in learn if y[k] == c]].mean(axis=0)
+        density.append(np.log(share[c]) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (d * np.linalg.solve(s, d.T).T).sum(axis=1))
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    for (i, _), v in zip(rows, want):
+        got[(i, round(float(v), 6))] += 1
+    for r in quality_qda.classify(table, known).collect():
+        got[(r.doc_id, round(r.score, 6))] -= 1
+        assert r.predicted == int(r.score >= 0.5)
+    assert not [k for k, n in got.items() if n], [k for k, n in got.items() if n][:4]
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -576,11 +658,51 @@ def test_mixing_fits_small_domains(spark):
         rows = spark.range(20_000).selectExpr(
             "100L + id % 37 AS tokens", f"CASE WHEN id < {n_poor} THEN 0.9D ELSE 0D END AS p_poor", f"CASE WHEN id BETWEEN {n_poor} AND {n_poor + 399} THEN 0.95D ELSE 0D END AS p_toxic"
         ).withColumn("p_good", F.expr("1 - p_poor - p_toxic"))
-        steps, off = soft_mixing.fit_rates(rows, soft_mixing.TARGETS)
+        steps, off, settled = soft_mixing.fit_rates(rows, soft_mixing.TARGETS)
+        assert settled
         total = rows.agg(F.sum("tokens")).first()[0]
         r = soft_mixing.rate(tuple(soft_mixing.TARGETS), steps)
         for name, share in soft_mixing.TARGETS.items():
             have = rows.agg(F.sum(F.col("tokens") * F.col(f"p_{name}") * r)).first()[0] / total
             assert abs(have - share) < 1e-3 and abs(have - share - off[name]) < 1e-9
-    _, off = soft_mixing.fit_rates(rows.withColumn("p_good", F.expr("p_good + p_poor")).withColumn("p_poor", F.lit(0.0)), soft_mixing.TARGETS)
+    _, off, _ = soft_mixing.fit_rates(rows.withColumn("p_good", F.expr("p_good + p_poor")).withColumn("p_poor", F.lit(0.0)), soft_mixing.TARGETS)
     assert abs(off["poor"] + 0.06) < 1e-9 and abs(off["good"]) < 1e-3
+    assert not soft_mixing.fit_rates(rows, soft_mixing.TARGETS, rounds=1).settled
+
+
+def test_mixing_against_plain_posteriors_and_optimum(spark):
+    """Posteriors text by text; the rates meet the conditions of the least-squares optimum, and rows say how the fit ended."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 3").withColumn("text", F.lit(None).cast("string")))
+    words = soft_mixing.telling_words(docs, labels)
+    assert words
+    hit = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})(?![^\W\d_])")
+
+    def measures(t):
+        tokens = len(re.findall(r"[^\x20\x09-\x0d]+", t))
+        rates = [100 * len(hit.findall(t.lower())) / (tokens + 1), 100 * len(re.findall(r"[#*$%&|<>!]", t)) / (len(t) + 1), 100 * len(re.findall(r"[A-Z]{2}", t)) / (len(t) + 1), 100 * len(re.findall(r" \| ", t)) / (tokens + 1)]
+        return tokens, [*np.log1p(rates), np.log1p(tokens) / 4]
+
+    table = [(r.doc_id, *measures(r.text or "")) for r in docs.select("doc_id", "text").collect()]
+    marks = {}
+    for r in labels.collect():
+        marks.setdefault(r.doc_id, []).append("toxic" if r.toxic == 1 else {1: "good", 0: "poor"}.get(r.quality))
+    domains, logs = tuple(soft_mixing.TARGETS), []
+    x, tokens = np.array([m for _, _, m in table]), np.array([n for _, n, _ in table], dtype=float)
+    own = {c: [k for k, (i, _, _) in enumerate(table) for m in marks.get(i, []) if m == c] for c in domains}
+    for c in domains:
+        mean, var = x[own[c]].mean(axis=0), x[own[c]].var(axis=0) + soft_mixing.FLOOR
+        logs.append(np.log(len(own[c]) / sum(map(len, own.values()))) - 0.5 * (np.log(var) + (x - mean) ** 2 / var).sum(axis=1))
+    p = np.exp(np.array(logs).T - np.max(logs, axis=0)[:, None])
+    p /= p.sum(axis=1, keepdims=True)
+    rows = soft_mixing.mix(docs, labels, carry=["doc_id"]).collect()
+    got = sorted((r.doc_id, r.tokens, *(round(r[f"p_{c}"], 6) + 0.0 for c in domains)) for r in rows)
+    assert got == sorted((i, n, *(round(float(v), 6) + 0.0 for v in q)) for (i, n, _), q in zip(table, p))
+    u, q, rate = np.array([r.tokens for r in rows], dtype=float), np.array([[r[f"p_{c}"] for c in domains] for r in rows]), np.array([r.rate for r in rows])
+    u /= u.sum()
+    off = (u * rate) @ q - np.array(list(soft_mixing.TARGETS.values()))
+    gram = (q * u[:, None]).T @ q
+    slope = q @ np.linalg.solve(gram + 1e-4 * np.eye(3), off) + soft_mixing.RIDGE * (rate - 1)
+    assert np.abs(slope[rate > 0]).max() < 0.01 and (slope[rate == 0] > -0.01).all() and (rate >= 0).all()
+    assert all(r.settled and r.rounds == rows[0].rounds > 0 for r in rows) and np.allclose([rows[0][f"off_{c}"] for c in domains], off, atol=1e-9)
