@@ -14,15 +14,17 @@ SEED, SEED_STEP = 0x9E3779B9, 0x85EBCA6B
 
 
 def _fnv(items: list[bytes], basis: int, prime: int, dtype) -> np.ndarray:
-    """All items at once, a byte position at a time."""
+    """All items at once, a byte position at a time; sorted by size, so that those with a byte there come last."""
     size = np.array([len(b) for b in items], dtype=np.int64)
-    out = np.full(len(items), basis, dtype=dtype)
-    grid = np.zeros((len(items), int(size.max()) if len(items) else 0), dtype=np.uint8)
-    for k, b in enumerate(items):
-        grid[k, : len(b)] = np.frombuffer(b, dtype=np.uint8)
-    for k in range(grid.shape[1]):
-        live = size > k
-        out[live] = (out[live] ^ grid[live, k]) * dtype(prime)
+    order = np.argsort(size, kind="stable")
+    joined = np.frombuffer(b"".join(items), dtype=np.uint8)
+    start = (np.cumsum(size) - size)[order]
+    first = np.searchsorted(size[order], np.arange(int(size.max()) if len(items) else 0), side="right")
+    found = np.full(len(items), basis, dtype=dtype)
+    for k, live in enumerate(first.tolist()):
+        found[live:] = (found[live:] ^ joined[start[live:] + k]) * dtype(prime)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 

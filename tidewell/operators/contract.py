@@ -84,21 +84,40 @@ def parse(spark: SparkSession, raw: str, kind: str = "BehaviorContract") -> Data
     return ordered(spark.createDataFrame(rows, RULE))
 
 
+def glob_pairs(wanted: DataFrame, globs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, subject, glob): which of the distinct subjects (keys, subject) each of the distinct globs (keys, glob) matches.
+
+    Globs are looked up by their literal start, or where they have none by their
+    literal end: an equality join on that text for each of the lengths there are
+    (no more than a path has characters), and only what agrees is matched.
+    """
+    ends = globs.select(*keys, "glob", F.regexp_extract("glob", r"^[^*?]*", 0).alias("head"), F.regexp_extract("glob", r"[^*?]*$", 0).alias("tail"))
+    ends = ends.select(*keys, "glob", F.expr("head = ''").alias("back"), F.expr("CASE WHEN head = '' THEN tail ELSE head END").alias("part"))
+    lengths = ends.select("back", F.length("part").alias("n")).distinct().collect()  # lengths of paths, not rows
+    of = lambda back: ", ".join(str(r["n"]) for r in lengths if r["back"] == back)
+    parts = [f"transform(filter(array({of(back)}), n -> n <= length(subject)), n -> named_struct('back', {str(back).lower()}, 'part', {side}(subject, n)))" for back, side in ((False, "left"), (True, "right")) if of(back)]
+    if not parts:
+        return wanted.select(*keys, "subject", F.lit("").alias("glob")).limit(0)
+    dealt = wanted.select(*keys, "subject", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("p")).select(*keys, "subject", "p.back", "p.part")
+    return dealt.join(ends, [*keys, "back", "part"]).where(F.rlike("subject", regex_of(F.col("glob")))).select(*keys, "subject", "glob")
+
+
 def allowed(rules: DataFrame, subjects: DataFrame) -> DataFrame:
     """The distinct `subjects` (category, subject) that a rule of their category allows: equal, or by glob."""
     exact = rules.select("category", F.explode(F.array("path", "peer", "binary", "name")).alias("subject")).where("subject <> ''").distinct()
     wanted = subjects.select("category", "subject").distinct()
     equal = wanted.join(exact, ["category", "subject"], "left_semi")
-    globs = rules.where("path_glob <> ''").select("category", regex_of(F.col("path_glob")).alias("pattern")).distinct()
-    by_glob = wanted.join(exact, ["category", "subject"], "left_anti").join(globs, "category").where("subject rlike pattern").select("category", "subject").distinct()
+    globs = rules.where("path_glob <> ''").select("category", F.col("path_glob").alias("glob")).distinct()
+    by_glob = glob_pairs(wanted.join(exact, ["category", "subject"], "left_anti"), globs, ["category"]).select("category", "subject").distinct()
     return equal.unionByName(by_glob)
 
 
 def allowed_names(rules: DataFrame, names: DataFrame) -> DataFrame:
-    """The distinct `names` (subject) that the egress rules' domain names allow."""
-    fqdn = rules.where("category = 'network.egress' AND fqdn <> ''").select(regex_of(F.col("fqdn")).alias("pattern"), "fqdn").distinct()
+    """The distinct `names` (subject) that the egress rules' domain names allow: equal, or by glob."""
+    fqdn = rules.where("category = 'network.egress' AND fqdn <> ''").select(F.col("fqdn").alias("glob")).distinct()
     wanted = names.select("subject").distinct()
-    return wanted.join(fqdn, F.expr("subject = fqdn OR subject rlike pattern"), "left_semi")
+    equal = wanted.join(fqdn.withColumnRenamed("glob", "subject"), "subject", "left_semi")
+    return equal.unionByName(glob_pairs(wanted, fqdn.where(is_glob(F.col("glob"))), []).select("subject")).distinct()
 
 
 def decide(rules: DataFrame, intents: DataFrame) -> DataFrame:
@@ -146,12 +165,12 @@ def _reasons(table: dict[str, str]):
 
 
 def gap(observed: DataFrame, policy: DataFrame, categories: tuple[str, ...] = CATEGORIES, keep_empty: bool = False) -> DataFrame:
-    """Findings (kind, category, subject, reason): observed but denied, and allowed but unused."""
+    """Findings (kind, category, subject, reason): observed but denied, and allowed but unused; findings_in_order() sorts them."""
     seen, may = _keys(observed, categories, keep_empty), _keys(policy, categories, keep_empty)
     denied = seen.join(allowed(policy, seen), ["category", "subject"], "left_anti")
     used_exactly = may.join(allowed(observed, may), ["category", "subject"], "left_semi")
-    globs = policy.where(F.col("category").isin(*categories) & (F.col("path_glob") != "")).select("category", F.col("path_glob").alias("subject"), regex_of(F.col("path_glob")).alias("pattern")).distinct()
-    by_glob = globs.join(seen.withColumnRenamed("subject", "path"), "category").where("path rlike pattern").select("category", "subject").distinct()
+    globs = policy.where(F.col("category").isin(*categories) & (F.col("path_glob") != "")).select("category", F.col("path_glob").alias("glob")).distinct()
+    by_glob = glob_pairs(seen, globs, ["category"]).select("category", F.col("glob").alias("subject")).distinct()
     unused = may.join(used_exactly, ["category", "subject"], "left_anti").join(by_glob, ["category", "subject"], "left_anti")
     return (
         denied.select(F.lit("observed_but_denied").alias("kind"), "category", "subject", _reasons(DENIED).alias("reason"))
@@ -159,6 +178,11 @@ def gap(observed: DataFrame, policy: DataFrame, categories: tuple[str, ...] = CA
     )
 
 
+def findings_in_order(findings: DataFrame) -> DataFrame:
+    """A report's order: each kind by category and subject."""
+    return findings.orderBy(F.desc(F.col("kind") == "observed_but_denied"), "category", "subject")
+
+
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """(inter, total, distance) of two sets of `subject`, without their categories; of two empty sets the distance is 0."""
     sides = a.select("subject", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select("subject", F.lit(0).alias("a"), F.lit(1).alias("b")))

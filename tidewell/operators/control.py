@@ -19,25 +19,7 @@ COALESCE_NS = 100_000_000
 
 
 def levels(usage: DataFrame, key: str = "pid") -> DataFrame:
-    """`usage` (key, seq, usage) with the level after each row.
-
-    The level moves by a map {0..3} -> {0..3} at each row, and maps compose: the
-    level after a row is where the composition of all maps so far sends 0.  A
-    row's map is kept as four numbers and folded over the key's sorted rows.
-    """
-    rows = usage.select(key, F.struct("seq", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("usage"))).alias("usage")).alias("r"))
-    step = f"""CASE WHEN r.usage >= {UP[0][0]} THEN {UP[0][1]} WHEN r.usage >= {UP[1][0]} THEN greatest(l, {UP[1][1]})
-        WHEN r.usage >= {UP[2][0]} THEN greatest(l, {UP[2][1]}) WHEN r.usage < {DOWN} THEN greatest(l - 1, 0) ELSE l END"""
-    # The level since the last row that sets it outright (full, or three rows down from the top) is all that matters.
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    out = packed.select(key, F.expr(f"""aggregate(rs, named_struct('l', 0, 'out', CAST(array() AS array<struct<seq:bigint,usage:double,level:int>>)),
-        (acc, r) -> named_struct('l', {step.replace('(l', '(acc.l').replace('ELSE l', 'ELSE acc.l')},
-            'out', array_append(acc.out, named_struct('seq', r.seq, 'usage', r.usage, 'level', {step.replace('(l', '(acc.l').replace('ELSE l', 'ELSE acc.l')}))), acc -> acc.out)""").alias("o"))
-    return out.select(key, F.explode("o").alias("x")).select(key, "x.seq", "x.usage", "x.level")
-
-
-def level_steps(usage: DataFrame, key: str = "pid") -> DataFrame:
-    """levels() for keys of any length: a sorted fold over the rows of a partition, which holds whole keys and one level."""
+    """`usage` (key, seq, usage) with the level after each row: a sorted fold over the rows of a partition, which holds whole keys and one level."""
     schema = f"{key} long, seq long, usage double, level int"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .asof import asof
 
 
@@ -61,23 +62,16 @@ def asof_next(binds: DataFrame, exits: DataFrame) -> DataFrame:
     return rows.select("own.*", "end_seq")
 
 
-def dirfd_paths(opens: DataFrame, rounds: int | None = None) -> DataFrame:
+def dirfd_paths(opens: DataFrame) -> DataFrame:
     """Opens (seq, ts_ns, pid, fd, dirfd, path) with the whole path: a relative one stands on the latest open of its dirfd.
 
     An opened relative path can be a base itself, so bases are sought again until
-    none is left, however deep, or up to `rounds` deep; what has no rooted base
-    then has no path.
+    none is left, however deep; what has no rooted base then has no path.
     """
     rows = opens.withColumn("full", F.when(F.col("path").startswith("/"), F.col("path")))
     bases = opens.select("pid", F.col("fd").alias("dirfd"), "seq", "ts_ns", F.col("seq").alias("base_seq"))
     linked = asof(opens, bases, ["pid", "dirfd"], ["base_seq"]).select("seq", F.col("r_base_seq").alias("base_seq"))
-    rows = rows.join(linked, "seq")
-    if rounds is None:
-        return _to_the_roots(rows).select(*opens.columns, "full")
-    for _ in range(rounds):
-        known = rows.select(F.col("seq").alias("base_seq"), F.col("full").alias("base_full"))
-        rows = rows.join(known, "base_seq", "left").withColumn("full", F.coalesce("full", F.when(F.col("base_full").isNotNull(), F.concat_ws("/", "base_full", "path")))).drop("base_full")
-    return rows.select(*opens.columns, "full")
+    return _to_the_roots(rows.join(linked, "seq")).select(*opens.columns, "full")
 
 
 def _to_the_roots(rows: DataFrame) -> DataFrame:
@@ -86,16 +80,14 @@ def _to_the_roots(rows: DataFrame) -> DataFrame:
     A round puts the tail of the base's base before a row's own, so depth doubles
     each time; bases come strictly earlier, so the rounds end.
     """
-    context = rows.sparkSession.sparkContext
-    kept = lambda df: df.checkpoint() if context.getCheckpointDir() else df.localCheckpoint()
-    steps = kept(rows.select("seq", "full", F.when(F.col("full").isNull(), F.col("base_seq")).alias("base_seq"), F.col("path").alias("tail")))
+    steps = stored(rows.select("seq", "full", F.when(F.col("full").isNull(), F.col("base_seq")).alias("base_seq"), F.col("path").alias("tail")), "dirfd")
     while steps.where("full IS NULL AND base_seq IS NOT NULL").limit(1).count():
         base = steps.select(F.col("seq").alias("base_seq"), F.col("full").alias("b_full"), F.col("base_seq").alias("b_base"), F.col("tail").alias("b_tail"))
         joined = steps.join(base, "base_seq", "left")
-        steps = kept(joined.select(
+        steps = stored(joined.select(
             "seq",
             F.coalesce("full", F.when(F.col("b_full").isNotNull(), F.concat_ws("/", "b_full", "tail"))).alias("full"),
             F.when(F.col("full").isNull() & F.col("b_full").isNull(), F.col("b_base")).alias("base_seq"),
             F.when(F.col("full").isNull() & F.col("b_full").isNull() & F.col("b_tail").isNotNull(), F.concat_ws("/", "b_tail", "tail")).otherwise(F.col("tail")).alias("tail"),
-        ))
+        ), "dirfd")
     return rows.drop("full").join(steps.select("seq", "full"), "seq")

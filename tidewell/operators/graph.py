@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 
 def build_edges(events: DataFrame) -> DataFrame:
     """Edges in arrival order: container to process for an exec, process to file, process to peer."""
@@ -48,21 +48,26 @@ def parents(edges: DataFrame) -> DataFrame:
     return edges.where("kind IN ('FORK', 'EXEC')").withColumn("nth", F.row_number().over(first)).where("nth = 1").select(F.col("dst").alias("child"), F.col("src").alias("parent"))
 
 
-def lineage(edges: DataFrame, starts: DataFrame, limit: int = 64) -> DataFrame:
-    """(start, depth, node): the ancestors of each start, nearest first; a cycle ends the walk.
+def lineage(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, depth, node): the ancestors of each start, nearest first, however many; a cycle ends the walk.
 
-    A recursive query over the parent map, which has a row a child.
+    Pointer doubling: a round knows each start's ancestors up to depth d and each
+    node's ancestor at d, and goes on to 2 d.  On a cycle the walk comes to nodes
+    it has been at; these are left out, and the rounds end when nothing is new.
     """
-    spark, tag = edges.sparkSession, uuid.uuid4().hex
-    parents(edges).createOrReplaceTempView(f"parents_{tag}")
-    starts.select("start").distinct().createOrReplaceTempView(f"starts_{tag}")
-    return spark.sql(f"""
-        WITH RECURSIVE up(start, depth, node, seen) AS (
-            SELECT start, 0, start, array(start) FROM starts_{tag}
-            UNION ALL
-            SELECT u.start, u.depth + 1, p.parent, array_append(u.seen, p.parent) FROM up u JOIN parents_{tag} p ON p.child = u.node
-            WHERE NOT array_contains(u.seen, p.parent) AND u.depth < {limit})
-        SELECT start, depth, node FROM up WHERE depth > 0""")
+    up = scratch.stored(parents(edges), "lineage")
+    found = scratch.stored(starts.select("start").distinct().join(up, F.col("start") == F.col("child")).where("start <> parent").select("start", F.lit(1).alias("depth"), F.col("parent").alias("node")), "lineage")
+    jump, reach = up, 1
+    while True:
+        step = jump.select(F.col("child").alias("node"), F.col("parent").alias("next"))
+        more = found.join(step, "node").select("start", (F.col("depth") + reach).alias("depth"), F.col("next").alias("node")).where("start <> node")
+        more = more.groupBy("start", "node").agg(F.min("depth").alias("depth")).join(found.select("start", "node"), ["start", "node"], "left_anti")
+        more = scratch.stored(more.select("start", "depth", "node"), "lineage")
+        if more.isEmpty():
+            return found
+        found = scratch.stored(found.unionByName(more), "lineage")
+        jump = scratch.stored(jump.join(jump.select(F.col("child").alias("parent"), F.col("parent").alias("far")), "parent").select("child", F.col("far").alias("parent")), "lineage")
+        reach *= 2
 
 
 def neighbours(edges: DataFrame, kind: str) -> DataFrame:
@@ -74,15 +79,17 @@ def reaches(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth): what each start reaches in at most `depth` steps, itself excluded.
 
     One join a level against the distinct edges; nodes seen before are left out.
+    Each level is stored, so that no plan holds those of the levels before.
     """
-    steps = edges.select("src", "dst").distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
+    steps = scratch.stored(edges.select("src", "dst").distinct(), "steps")
+    seen = scratch.stored(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "reached")
     front = seen
     for level in range(1, depth + 1):
         front = front.join(steps, front.node == steps.src).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level))
+        front = scratch.stored(front, "reached")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
-        if level % 4 == 0 and edges.sparkSession.sparkContext.getCheckpointDir():
-            seen = seen.checkpoint()
     return seen.where("depth > 0")
 
 

@@ -29,13 +29,15 @@ def file_sessions(events: DataFrame, idle_ns: int, cap: int = CONTRIBUTING) -> D
         f"""int(op = 'open' OR coalesce(lag(op) OVER w, 'close') = 'close' OR ts_ns - lag(ts_ns) OVER w >= {idle_ns}) AS fresh""".replace("OVER w", "OVER (PARTITION BY pid, epoch, fd ORDER BY seq)"),
     )
     rows = rows.selectExpr("*", "sum(fresh) OVER (PARTITION BY pid, epoch, fd ORDER BY seq ROWS UNBOUNDED PRECEDING) AS sid")
+    # The newest `cap` rows of a session are numbered from its end: only these are gathered, however long it is.
+    rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY pid, epoch, fd, sid ORDER BY seq DESC) AS back")
     found = rows.groupBy("pid", "epoch", "fd", "sid").agg(
         F.max("path").alias("path"), F.max("hint").alias("hint"), F.max("exit_ns").alias("exit_ns"),
         F.sum(F.expr("CASE WHEN op = 'read' THEN bytes ELSE 0L END")).alias("bytes_read"),
         F.sum(F.expr("CASE WHEN op = 'write' THEN bytes ELSE 0L END")).alias("bytes_written"),
         F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("last_ns"), F.count("*").alias("n_events"),
         F.max(F.expr("int(op = 'close')")).alias("closed"),
-        F.array_sort(F.collect_list("seq")).alias("ids"),
+        F.array_sort(F.collect_list(F.when(F.col("back") <= cap, F.col("seq")))).alias("ids"),
     )
     found = found.where("NOT (closed = 1 AND n_events = 1 AND path IS NULL)")
     return found.selectExpr(
@@ -45,7 +47,7 @@ def file_sessions(events: DataFrame, idle_ns: int, cap: int = CONTRIBUTING) -> D
              WHEN hint = 'openrw' THEN 'FileReadWrite' ELSE 'FileAccess' END AS kind""",
         "IF(closed = 1, 1.0D, 0.7D) AS confidence", "bytes_read", "bytes_written", "start_ns",
         f"""CASE WHEN closed = 0 AND sid = max(sid) OVER (PARTITION BY pid, epoch, fd) AND exit_ns - last_ns < {idle_ns} THEN exit_ns ELSE last_ns END AS end_ns""",
-        "n_events", f"slice(ids, greatest(1, size(ids) - {cap} + 1), {cap}) AS ids",
+        "n_events", "ids",
     ).withColumn("severity", F.expr("IF(kind IN ('FileWrite', 'FileReadWrite'), 2, 1)"))
 
 

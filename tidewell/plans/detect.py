@@ -136,12 +136,12 @@ def w4_markov_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _new_sql(item: str, where: str, kind: str, label: str, extra: str = "") -> str:
     return f"""v AS (SELECT {item} AS item, seq FROM s WHERE {where}), half AS (SELECT quantile_disc(seq, 0.5) AS mid FROM s),
- learnt AS (SELECT DISTINCT item FROM v, half WHERE seq <= mid AND seq % 50 = 0) SELECT min(seq) AS seq, '{kind}' AS kind, 1.0 AS score, '{label}=' || item AS evidence FROM v, half WHERE seq > mid AND item NOT IN (SELECT item FROM learnt) {extra} GROUP BY item"""
+ learnt AS (SELECT DISTINCT item FROM v, half WHERE seq <= mid) SELECT min(seq) AS seq, '{kind}' AS kind, 1.0 AS score, '{label}=' || item AS evidence FROM v, half WHERE seq > mid AND item NOT IN (SELECT item FROM learnt) {extra} GROUP BY item"""
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     half = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)")).first()[0]
-    return rows.where((F.col("seq") <= half) & (F.col("seq") % 50 == 0)), rows.where(F.col("seq") > half)
+    return rows.where(F.col("seq") <= half), rows.where(F.col("seq") > half)
 
 
 @query(_new_sql("'/bin/b' || k", "op = 'execute'", "new_exec", "binary"))

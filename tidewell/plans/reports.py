@@ -144,7 +144,7 @@ _LEVELS = """WITH RECURSIVE e AS (SELECT user_id AS pid, event_id AS seq, least(
 
 @query(_LEVELS + " SELECT pid, seq, level FROM f")
 def w12_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return control.level_steps(syscalls(spark, sf_dir).selectExpr("pid", "seq", "k / 90D AS usage")).select("pid", "seq", "level")
+    return control.levels(syscalls(spark, sf_dir).selectExpr("pid", "seq", "k / 90D AS usage")).select("pid", "seq", "level")
 
 
 @query(_LEVELS + " SELECT pid, seq, before, level FROM f WHERE level <> before")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.hashes import fnv1a32
 
 
+#: A shard's file is full at this size.
+FILE_BYTES = 128 << 20
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 
@@ -22,9 +26,14 @@ def sharded(rows: DataFrame, key: str, shards: int = 4) -> DataFrame:
     return rows.withColumn("shard", F.pmod(fnv1a32(F.col(key)), F.lit(shards)).cast("int"))
 
 
-def write_sharded(rows: DataFrame, path: str, key: str = "intent_id", shards: int = 4, rows_a_file: int = 1_000_000) -> None:
-    """Newline-delimited JSON in a folder a shard, with rotation by size."""
-    sharded(rows, key, shards).repartition("shard").write.mode("append").option("maxRecordsPerFile", rows_a_file).partitionBy("shard").json(path)
+def write_sharded(rows: DataFrame, path: str, key: str = "intent_id", shards: int = 4, file_bytes: int = FILE_BYTES) -> None:
+    """Newline-delimited JSON in a folder a shard, in files of about `file_bytes` by the mean size of the rows.
+
+    A shard is dealt to as many tasks as its size asks for (adaptive rebalancing), not to one.
+    """
+    size = rows.select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.avg("n")).first()[0]
+    rows_a_file = max(1, int(file_bytes / (size + 1))) if size else 1
+    sharded(rows, key, shards).hint("rebalance", "shard").write.mode("append").option("maxRecordsPerFile", rows_a_file).partitionBy("shard").json(path)
 
 
 def newest_files(files: DataFrame, keep: int = 4) -> DataFrame:
