@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import globs, hashes, scalars
-from tidewell.operators import baseline, contract, control, correlate, enrich, graph, history, intents, mapping, pairing, policy, subscribe
+from tidewell.operators import baseline, capability, contract, control, correlate, enrich, graph, history, interning, intents, mapping, pairing, policy, subscribe
 from tidewell.operators.asof import asof
-from tidewell.sources import frames, log, sinks, wire
+from tidewell.sources import dimensions, documents, frames, log, sinks, wire
 
 S = 1_000_000_000
 EVENT = "seq long, ts_ns long, pid long, fd int, op string, path string, hint string, bytes long, peer string, binary_ string"
@@ -167,6 +167,18 @@ def test_asof_is_strict(spark):
     assert {r.seq: r.r_v for r in asof(a, b, ["key"], ["v"]).collect()} == {1: "before", 2: "same", 3: None}
 
 
+def test_asof_in_ranges(spark):
+    """A hot key dealt into ranges of time matches as in one piece, null keys and empty ranges too."""
+    rng = random.Random(8)
+    key = lambda: rng.choice(["hot", "hot", "hot", "b", None])
+    a = spark.createDataFrame([(k, rng.randrange(1000), key()) for k in range(400)], "seq long, ts_ns long, key string")
+    b = spark.createDataFrame([(1000 + k, rng.choice([rng.randrange(1000), rng.randrange(50)]), key(), f"v{k}") for k in range(60)], "seq long, ts_ns long, key string, v string")
+    whole = sorted((r.seq, str(r.r_v), str(r.r_at)) for r in asof(a, b, ["key"], ["v"]).collect())
+    for ranges in (2, 7, 30):
+        assert sorted((r.seq, str(r.r_v), str(r.r_at)) for r in asof(a, b, ["key"], ["v"], ranges=ranges).collect()) == whole
+    assert len({v for _, v, _ in whole}) > 20
+
+
 def test_levels(spark):
     usage = spark.createDataFrame([(1, k, u) for k, u in enumerate((0.70, 0.85, 0.30, 0.30, 2.0, 0.5))], "pid long, seq long, usage double")
     assert [r.level for r in control.levels(usage).orderBy("seq").collect()] == [1, 2, 1, 0, 3, 3]
@@ -335,6 +347,65 @@ def test_long_strings_hash(spark):
     assert hashes.fnv32([t.encode() for t in text]).tolist() == [plain(t.encode()) for t in text]
 
 
+def test_interning(spark):
+    """Ids from 1 by first sight; a full channel spends a number and tries again, a clash and an empty string have none, idle strings are forgotten."""
+    rows = [(1, 0, "a", False, 1), (2, 1, "b", True, 2), (3, 2, "b", False, 2), (4, 3, "clash", False, 1), (5, 4, "", False, 0), (6, 5, "a", True, 1), (7, 5 + 600, "a", False, 1), (8, 700, "b", False, 2), (9, 701, "c", True, 3)]
+    sights = spark.createDataFrame([(q, t * S, x, b, h) for q, t, x, b, h in rows], "seq long, ts_ns long, text string, backlogged boolean, hash long")
+    got = {r.seq: (r.id, r.fresh) for r in interning.intern(sights).collect()}
+    assert got == {1: (1, True), 2: (0, False), 3: (3, True), 4: (0, False), 5: (0, False), 6: (1, False), 7: (4, True), 8: (5, True), 9: (0, False)}
+    assert sorted((r.seq, r.id) for r in interning.intern(sights.drop("hash").where("seq < 5")).collect()) == [(1, 1), (2, 0), (3, 3), (4, 4)]
+
+
+def test_resolved_paths(spark):
+    rows = [("", -100, None, None, "/"), ("a\0b", 5, "/d", False, "/"), ("", 5, "/d/f", False, None), ("", 5, "socket:[9]", True, None), ("", 5, None, None, None), ("/a/../b", 5, None, None, None), ("x", -100, None, None, None), ("x/./y", -100, None, None, "/home"), ("x", 5, "/d", True, "/"), ("../x", 5, "/d/e", False, "/"), ("/" + "q" * 50, 5, None, None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "n int, raw string, dirfd int, fd string, sock boolean, cwd string")
+    got = [r.x for r in df.select("n", scalars.resolved_path(F.col("raw"), F.col("dirfd"), F.col("fd"), F.col("sock"), F.col("cwd"), 40).alias("x")).orderBy("n").collect()]
+    assert [g.reason for g in got] == ["empty_input", "path_contains_null", "", "", "fd_table_miss", "", "proc_lookup_failed", "", "fd_table_miss", "", "path_too_long"]
+    assert [got[k].path for k in (2, 3, 5, 7, 9)] == ["/d/f", "socket:[9]", "/b", "/home/x/y", "/d/x"] and got[1].hint == "a\0b" and got[10].hint == "..." + "q" * 29
+
+
+def test_documents_round_trip(spark):
+    headers = spark.createDataFrame([("p1", "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", 10, 0.5, 0.01, 0.02), ("p2", "", "", 0, 0.0, 0.0, 0.0)], "profile_id string, learn_start string, learn_end string, samples long, confidence double, rarity_floor double, markov_floor double")
+    items = spark.createDataFrame([("p1", "exec", "/b"), ("p1", "exec", "/a"), ("p1", "exec", "/a"), ("p1", "uid", "10"), ("p1", "uid", "9"), ("p1", "file.write", "/w")], "profile_id string, category string, item string")
+    made = documents.profile_documents(headers, items)
+    body = {r.profile_id: json.loads(r.body) for r in made.collect()}
+    assert body["p1"]["execBinaries"] == ["/a", "/b"] and body["p1"]["uids"] == [9, 10] and body["p1"]["schemaVersion"] == 3 and "filePaths" not in body["p1"] and "uids" not in body["p2"]
+    found, own = documents.read_profiles(made)
+    assert sorted(map(tuple, own.collect())) == sorted(set(map(tuple, items.collect()))) and sorted(tuple(r)[0::4] for r in found.collect()) == [("p1", 10), ("p2", 0)]
+    rules_ = rules(spark, ("exec", {"binary": "/b"}), ("exec", {"binary": "/a"}), ("file.read", {"path": "/x"}), ("file.write", {"path_glob": "/y*"}), ("network.egress", {"peer": "1:1"}), ("network.egress", {"fqdn": "*.x.org"}), ("capability", {"name": "CAP_A"}), ("syscalls", {"name": "open"}))
+    text = documents.contract_document(rules_, "c1")
+    assert sorted(map(tuple, contract.parse(spark, text).collect())) == sorted(map(tuple, rules_.collect())) and [e["binary"] for e in json.loads(text)["spec"]["process"]["exec"]] == ["/a", "/b"]
+
+
+def test_capability_report(spark):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    hooks = capability.discover(names("open", "open", "read"), names("filp_close", "cap_capable"), ["bpf"])
+    state = {r.probe: (r.state, r.warning) for r in capability.diagnose(hooks).collect()}
+    assert state["syscall_tracepoint/open"] == ("ok", "") and state["lsm_bpf/file_open"] == ("ok", "") and state["kprobe/filp_close"] == ("ok", "")
+    assert state["kprobe/security_path_link"] == ("missing", "kprobe/security_path_link: not in kallsyms/available_filter_functions") and len(state) == 2 + 6 + 17
+    dark = {r.name: r for r in capability.discover(names("x"), names("y"), None).where("kind = 'lsm_bpf'").collect()}
+    assert dark["bprm_check_security"].fallback == "kprobe:security_bprm_check" and dark["file_open"].reason == "LSM list not readable"
+
+
+def test_findings_come_in_order(spark):
+    seen = rules(spark, ("syscalls", {"name": "z"}), ("exec", {"binary": "/b"}), ("exec", {"binary": "/a"}), ("file.read", {"path": "/x"}))
+    found = contract.findings_in_order(contract.gap(seen, rules(spark, ("capability", {"name": "C"}), ("exec", {"binary": "/c"})))).collect()
+    assert [(r.category, r.subject) for r in found] == [("exec", "/a"), ("exec", "/b"), ("file.read", "/x"), ("syscalls", "z"), ("capability", "C"), ("exec", "/c")]
+
+
+def test_fan_out_and_totals(spark, tmp_path):
+    rows = spark.range(30).selectExpr("concat('i', id) AS intent_id")
+    sinks.fan_out(lambda df, epoch: sinks.write_lines(df, f"file://{tmp_path}/a"), lambda df, epoch: sinks.write_sharded(df, f"file://{tmp_path}/b"))(rows, 0)
+    assert spark.read.json(f"file://{tmp_path}/a").count() == spark.read.json(f"file://{tmp_path}/b").count() == 30
+    one = spark.createDataFrame([(5, 4, 3, 2)], "frames_dropped long, intents long, syscalls long, frames_read long")
+    assert [tuple(r) for r in control.totals(one).collect()] == [("syscalls", 3), ("intents", 4), ("frames_read", 2), ("frames_dropped", 5)] and control.totals(one, 2).count() == 2
+
+
+def test_docker_listing(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps([{"Id": "c1", "Names": ["/web"], "Image": "nginx", "Labels": {"a": "b"}}, {"Id": "c2"}]))
+    assert sorted((r.container_id, r.container, r.image, r.labels) for r in dimensions.docker_listing(spark, f"file://{tmp_path}/d.json").collect()) == [("c1", "web", "nginx", {"a": "b"}), ("c2", "", None, None)]
+
+
 def test_policies():
     assert policy.preset("network-only").level == "minimal" and policy.preset("none such") is None
     doc = {"kind": "HookSubscription", "metadata": {"name": "x"}, "spec": {"syscalls": {"include": ["a", "b"], "exclude": ["b"]}}}

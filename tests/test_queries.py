@@ -8,7 +8,7 @@ import pytest
 from tidewell.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-UNORDERED_ONLY = {"a6_sketch_estimates", "w15_debounce", "k2_shards", "s1_s4_decoded_frames"}
+UNORDERED_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -32,9 +32,9 @@ def fnv32(items: list[bytes]) -> np.ndarray:
     return _fnv(items, BASIS32, PRIME32, np.uint32)
 
 
-def fnv64(items: list[bytes]) -> np.ndarray:
-    """Of the first 256 bytes."""
-    return _fnv([b[:256] for b in items], BASIS64, PRIME64, np.uint64)
+def fnv64(items: list[bytes], most: int | None = 256) -> np.ndarray:
+    """Of the first `most` bytes."""
+    return _fnv([b[:most] for b in items], BASIS64, PRIME64, np.uint64)
 
 
 def fnv1a32(text: Column) -> Column:
@@ -45,12 +45,13 @@ def fnv1a32(text: Column) -> Column:
     return digest(text)
 
 
-def fnv1a64(text: Column) -> Column:
-    """As a signed long."""
+def fnv1a64(text: Column, whole: bool = False) -> Column:
+    """As a signed long; of the first 256 bytes, or of the whole text."""
+    most = None if whole else 256
 
     @pandas_udf("bigint")
     def digest(text: pd.Series) -> pd.Series:
-        return pd.Series(fnv64([t.encode() for t in text.fillna("")]).view(np.int64))
+        return pd.Series(fnv64([t.encode() for t in text.fillna("")], most).view(np.int64))
 
     return digest(text)
 

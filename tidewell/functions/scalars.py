@@ -128,6 +128,34 @@ def path_tail(path: Column, n: int = 32) -> Column:
     return F.when(F.length(path) <= n, path).otherwise(F.concat(F.lit("..."), F.substring(path, -(n - 3), n - 3)))
 
 
+# The directory descriptor that means the working directory, and why a path stays unresolved.
+AT_FDCWD = -100
+FD_MISS, TOO_LONG, PROC_MISS, NULL_BYTE, EMPTY = "fd_table_miss", "path_too_long", "proc_lookup_failed", "path_contains_null", "empty_input"
+
+
+def resolved_path(raw: Column, dirfd: Column, fd_path: Column, fd_socket: Column, cwd: Column, longest: int = 0) -> Column:
+    """struct(path, reason, hint): the whole path, or why there is none with a tail of what was given.
+
+    `fd_path` and `fd_socket` are what the process's descriptor table says of
+    `dirfd`, `cwd` its working directory, null where the lookup failed.  No
+    longer than `longest` bytes, if that is not 0.
+    """
+    raw = F.coalesce(raw, F.lit(""))
+    here = dirfd == AT_FDCWD
+    nul = F.contains(raw, F.lit("\0"))
+    no_dir = F.coalesce(fd_path, F.lit("")).eqNullSafe("") | F.coalesce(fd_socket, F.lit(False))
+    early = (
+        F.when((raw == "") & here, EMPTY).when(nul, NULL_BYTE).when((raw == "") & fd_path.isNull(), FD_MISS)
+        .when((raw == "") | raw.startswith("/"), F.lit(None)).when(here & cwd.isNull(), PROC_MISS).when(~here & no_dir, FD_MISS)
+    )
+    base = F.when(raw == "", fd_path).when(raw.startswith("/"), raw).when(here, F.concat(cwd, F.lit("/"), raw)).otherwise(F.concat(fd_path, F.lit("/"), raw))
+    whole = F.when(early.isNull(), F.when(base.startswith("/"), clean_path(base)).otherwise(base))
+    long_ = (F.octet_length(whole) > longest) if longest else F.lit(False)
+    reason = F.when(early.isNotNull(), early).when(long_, TOO_LONG).otherwise("")
+    hint = F.when(early == EMPTY, "").when(early.isNotNull(), path_tail(raw)).when(long_, path_tail(whole)).otherwise("")
+    return F.struct(F.when(reason == "", whole).otherwise("").alias("path"), reason.alias("reason"), hint.alias("hint"))
+
+
 def summary(kind: Column, attributes: Column) -> Column:
     """One line for an intent."""
     get = lambda k: F.coalesce(F.try_element_at(attributes, F.lit(k)), F.lit(""))

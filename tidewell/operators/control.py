@@ -123,5 +123,25 @@ def overflow(counters: DataFrame, node: str) -> DataFrame:
     return rows.where("dropped > 0").select("tick_ns", "dropped", "frames", F.format_string("%.6f", F.col("dropped") / (F.col("dropped") + F.col("frames"))).alias("loss_ratio"), "window_ms", F.lit(node).alias("node"))
 
 
+# The rows of the totals view, in its order.
+TOTALS = ["syscalls", "intents", "frames_read", "frames_dropped"]
+
+
+def totals(counters: DataFrame, n: int = 0) -> DataFrame:
+    """(key, total): the four totals of a one-row frame that has them as columns, or the first `n` of them."""
+    shown = TOTALS[:n] if 0 < n < len(TOTALS) else TOTALS
+    return counters.unpivot([], shown, "key", "total")
+
+
+def ring_drops(drops: DataFrame, key: str = "cpu", rings: int = 8) -> DataFrame:
+    """(ring, dropped): what each of the rings has dropped, from rows (key, n)."""
+    return drops.groupBy(F.pmod(key, F.lit(rings)).alias("ring")).agg(F.sum("n").alias("dropped"))
+
+
+def state_sizes(rows: DataFrame, **columns: str) -> DataFrame:
+    """One row: how many different values each named column has."""
+    return rows.agg(*(F.countDistinct(c).alias(name) for name, c in columns.items()))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))

@@ -56,15 +56,6 @@ def a5_syscall_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.counts(syscalls(spark, sf_dir))
 
 
-@query()
-def a6_sketch_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketch estimates beside exact counts; the hash has no SQL form, the tests hold it against a plain one."""
-    width, depth = baseline.sketch_size(0.01, 0.01)
-    exact = baseline.counts(syscalls(spark, sf_dir))
-    cells = baseline.sketch(exact, width, depth)
-    return exact.join(baseline.sketch_estimate(cells, exact, width, depth), "name")
-
-
 @query("""w AS (SELECT name, lag(name) OVER (PARTITION BY pid ORDER BY seq) AS prev FROM s), c AS (SELECT prev, name, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY prev, name)
 SELECT prev, name, n, n / sum(n) OVER (PARTITION BY prev) AS prob FROM c""")
 def a7_w1_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,10 +61,3 @@ def a2_socket_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p AS (SELECT * FROM s WHERE op = 'execute') SELECT seq, pid, 'ProcessStart' AS kind, binary_ AS binary, ts_ns AS start_ns, ts_ns AS end_ns, 2 AS severity, 1.0 AS confidence FROM p")
 def a3_process_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intents.process_starts(syscalls(spark, sf_dir))
-
-
-@query("""r AS (SELECT pid, seq, row_number() OVER (PARTITION BY pid ORDER BY seq DESC) AS n FROM s)
-SELECT pid, count(*) AS kept, min(seq) AS first_seq, max(seq) AS last_seq FROM r WHERE n <= 16 GROUP BY pid""")
-def a4_capped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = syscalls(spark, sf_dir).selectExpr("pid", "seq", "row_number() OVER (PARTITION BY pid ORDER BY seq DESC) AS n").where("n <= 16")
-    return rows.groupBy("pid").agg(F.count("*").alias("kept"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))

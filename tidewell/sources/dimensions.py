@@ -81,6 +81,33 @@ def dns_events(packets: DataFrame) -> DataFrame:
     return packets.select("seq", "ts_ns", "raw").mapInPandas(run, "seq long, ts_ns long, query string, ip string")
 
 
+def dns_intents(answers: DataFrame, by_cgroup: DataFrame) -> DataFrame:
+    """A DNSAnswer intent for each answer (seq, ts_ns, query, addr, rtype, cgroup_id, container_id, pod, namespace) with a query and an address.
+
+    Its container is the one of its cgroup in `by_cgroup` (cgroup_id, container_id, pod, namespace), where that names one, else its own.
+    """
+    rows = answers.where("query <> '' AND addr <> ''")
+    meta = by_cgroup.where("cgroup_id <> 0 AND (container_id <> '' OR pod <> '')").select("cgroup_id", F.struct("container_id", "pod", "namespace").alias("of_cgroup"))
+    rows = rows.join(meta, "cgroup_id", "left").withColumn("meta", F.coalesce("of_cgroup", F.struct("container_id", "pod", "namespace")))
+    return rows.select(
+        "seq", F.lit("DNSAnswer").alias("kind"), F.col("ts_ns").alias("start_ns"), F.col("ts_ns").alias("end_ns"),
+        F.create_map(F.lit("query"), "query", F.lit("addr"), "addr", F.lit("rtype"), F.coalesce("rtype", F.lit(""))).alias("attributes"), "meta", F.lit(1).alias("severity"), F.lit(1.0).alias("confidence"),
+    )
+
+
+def docker_listing(spark: SparkSession, path: str) -> DataFrame:
+    """A Docker listing (a JSON array of containers) as a table: container_id, container, image, labels."""
+    rows = spark.read.schema("Id string, Names array<string>, Image string, Labels map<string,string>").option("multiLine", True).json(path)
+    return rows.selectExpr("Id AS container_id", "coalesce(ltrim('/', Names[0]), '') AS container", "Image AS image", "Labels AS labels")
+
+
+def namespace_index(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(pid_ns, mnt_ns, pid): the first process of each namespace pair, from rows (pid, pid_link, mnt_link) as procfs spells them, `pid:[4026531836]`."""
+    inode = lambda c: F.expr(f"bigint(regexp_extract({c}, '\\\\[([0-9]+)\\\\]', 1))")
+    rows = links.where(F.col("pid_link").rlike(r"^pid:\[[0-9]+\]$") & F.col("mnt_link").rlike(r"^mnt:\[[0-9]+\]$")).select("pid", inode("pid_link").alias("pid_ns"), inode("mnt_link").alias("mnt_ns"))
+    return rows.groupBy("pid_ns", "mnt_ns").agg(F.min("pid").alias("pid"))
+
+
 def pumped(sources: list[DataFrame], corrupt: str = "error") -> tuple[DataFrame, DataFrame]:
     """Several sources as one: (sound rows, counts of the broken ones by what is wrong)."""
     rows = reduce(DataFrame.unionByName, sources)

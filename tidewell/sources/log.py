@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
+from ..operators.numbering import numbered
 from ..schema import LOG_ENTRY
 
 SEGMENT_BYTES = 32 << 20
@@ -38,22 +39,15 @@ def dump(log: DataFrame, container: str, since_ns: int, until_ns: int) -> DataFr
 def append(batch: DataFrame, path: str, after: int, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write a batch with following numbers in arrival order; streams share the sequence.
 
-    The sorted batch is stored once, with each row's place in its partition, and
-    numbered from there: a second reading of the shuffle could deal the rows out
-    differently.  So no task holds all rows.  Segments are files of about
+    No task holds all rows (numbered() says how).  Segments are files of about
     `segment_bytes`, by the mean size of the batch's rows.
     """
     spark, since = batch.sparkSession, scratch.written(batch.sparkSession)
     columns = [c.split()[0] for c in LOG_ENTRY.split(", ")]
-    sorted_ = batch.repartitionByRange("arrival").sortWithinPartitions("arrival").select(*(c for c in columns if c != "seq"), F.monotonically_increasing_id().alias("place"))
-    placed = scratch.stored(sorted_, "log").withColumn("part", F.shiftright("place", 33))
-    line = F.length(F.to_json(F.struct(*(c for c in columns if c != "seq")))) + 25
-    sizes = scratch.stored(placed.groupBy("part").agg(F.count("*").alias("n"), F.sum(line).alias("bytes")), "log")  # a row a partition
-    total = sizes.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    out = placed.join(F.broadcast(before), "part").withColumn("seq", F.lit(after + 1) + F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1))
-    rows_a_file = max(1, int(segment_bytes * total["n"] / total["bytes"])) if total["n"] else 1
-    out.select(*columns).write.mode("append").option("maxRecordsPerFile", rows_a_file).json(path)
+    out = numbered(batch.select(*(c for c in columns if c != "seq"), "arrival"), ["arrival"], "seq", after + 1).select(*columns)
+    mean = out.agg(F.avg(F.length(F.to_json(F.struct(*columns))) + 1)).first()[0]
+    if mean:
+        out.write.mode("append").option("maxRecordsPerFile", max(1, int(segment_bytes / mean))).json(path)
     scratch.drop(spark, since)
 
 
