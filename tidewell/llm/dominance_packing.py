@@ -98,33 +98,38 @@ def reduce_and_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
                 best = max(best, int(a + sizes[at - 1]))
         return best
 
-    # Reduction: a set that dominates every other set with its largest item is fixed for good.
-    for size in range(capacity, 0, -1):
-        while left[size]:
-            room = capacity - size
-            left[size] -= 1
-            fits = np.flatnonzero(left[: room + 1])
-            partner = int(fits[-1]) if len(fits) else 0
-            three = smallest(3)
-            alone = partner == 0
-            dominated = alone or partner == room or sum(three[:2]) > room or len(three) < 2
-            if not dominated and (sum(three) > room or len(three) < 3):
-                dominated = best_pair(room) <= partner
-            left[size] += 1
-            if not dominated:
-                break
-            if alone:
-                n = int(left[size])
-                put(size, n, total, 0)
-            elif partner == size:
-                n = int(left[size] // 2)
-                put(size, n, total, 0)
-                put(size, n, total, size)
-            else:
-                n = int(min(left[size], left[partner]))
-                put(size, n, total, 0)
-                put(partner, n, total, size)
-            total += n
+    # Reduction: a set that dominates every other set with its largest item is fixed for good.  What is fixed can let
+    # longer items be dominated that were not before, so the passes go on until one fixes nothing.
+    fixed = True
+    while fixed:
+        fixed = False
+        for size in range(capacity, 0, -1):
+            while left[size]:
+                room = capacity - size
+                left[size] -= 1
+                fits = np.flatnonzero(left[: room + 1])
+                partner = int(fits[-1]) if len(fits) else 0
+                three = smallest(3)
+                alone = partner == 0
+                dominated = alone or partner == room or sum(three[:2]) > room or len(three) < 2
+                if not dominated and (sum(three) > room or len(three) < 3):
+                    dominated = best_pair(room) <= partner
+                left[size] += 1
+                if not dominated:
+                    break
+                if alone:
+                    n = int(left[size])
+                    put(size, n, total, 0)
+                elif partner == size:
+                    n = int(left[size] // 2)
+                    put(size, n, total, 0)
+                    put(size, n, total, size)
+                else:
+                    n = int(min(left[size], left[partner]))
+                    put(size, n, total, 0)
+                    put(partner, n, total, size)
+                total += n
+                fixed = True
 
     # Best fit, longest first, over what is left: sequences of equal room are ranges.
     rooms: list[int] = []
