@@ -58,7 +58,9 @@ def _measured(docs: DataFrame, host: str, carry: list[str]) -> DataFrame:
     return rows.select(
         "own", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.expr(f"CASE WHEN sorted IS NULL THEN 0L ELSE {_REPEATED} END").alias("n_repeat_words"),
-        F.expr(f"transform(parts, l -> named_struct('line', l, 'hash', CASE WHEN l rlike r'[^\\x20\\x09-\\x0D]' THEN xxhash64({clean}) END))").alias("lines"),
+        "parts",
+        F.expr(f"transform(parts, l -> CASE WHEN l rlike r'[^\\x20\\x09-\\x0D]' THEN xxhash64({clean}) END)").alias("hashes"),
+        F.expr(rf"transform(parts, l -> regexp_count(l, r'{WORD}'))").alias("counts"),
     )
 
 
@@ -74,16 +76,17 @@ def cleaned(docs: DataFrame, host: str = "source", most_docs: int = MOST_DOCS, k
     """
     carry = [c for c in carry or docs.columns if c not in ("text", *MEASURES)]
     rows = stored(_measured(docs, host, carry), "lines")
-    held = rows.select("host", "content", F.explode(F.expr("array_distinct(filter(lines.hash, h -> h IS NOT NULL))")).alias("hash"))
+    held = rows.select("host", "content", F.explode(F.expr("array_distinct(filter(hashes, h -> h IS NOT NULL))")).alias("hash"))
     counted = held if copies else held.distinct()
     # Stored, so that its size is known before the lines are dealt out for the join.
     frequent = stored(counted.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > most_docs).select("host", "hash"), "frequent")
     gone = held.join(frequent, ["host", "hash"]).groupBy("host", "content").agg(F.sort_array(F.collect_set("hash")).alias("gone"))  # a text's own lines
     out = rows.join(stored(gone, "gone"), ["host", "content"], "left")
-    left = f"filter(lines, l -> l.hash IS NULL OR {place_in('gone', 'l.hash')} = 0)"
-    out = out.withColumn("text", F.expr(f"array_join(transform(CASE WHEN gone IS NOT NULL THEN {left} ELSE lines END, l -> l.line), '\n')"))
+    # Lines, hashes and counts are columns of their own, so that what needs no text does not take it through the join.
+    stays = f"hashes[i] IS NULL OR {place_in('gone', 'hashes[i]')} = 0"
+    out = out.withColumn("text", F.expr(f"array_join(CASE WHEN gone IS NOT NULL THEN filter(parts, (l, i) -> {stays}) ELSE parts END, '\n')"))
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    lost = F.expr(rf"CASE WHEN gone IS NOT NULL THEN n_words - regexp_count(text, r'{WORD}') ELSE 0L END")
+    lost = F.expr(f"CASE WHEN gone IS NOT NULL THEN aggregate(filter(counts, (n, i) -> NOT ({stays})), 0L, (a, n) -> a + n) ELSE 0L END")
     return out.withColumn("n_frequent_words", lost).select(
         "own.*", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_frequent_words",
         (~failed & (F.col("n_words") - F.col("n_frequent_words") >= F.lit(keep_share) * F.col("n_words"))).alias("kept"),
