@@ -35,14 +35,18 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.break_id = self.library.encode("\n", add_special_tokens=False).ids
+        self.break_ids = np.array(self.break_id, dtype="<u2").tobytes()
         self.cache_units = cache_units
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.characters = 0
 
+    def ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without places in the text
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return np.array(self.ids(text), dtype="<u2").tobytes()
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -59,29 +63,58 @@ class UnitEncoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        """Encode units (with their space) that are not kept yet: those without inner blanks together, parted by line breaks."""
-        plain = [u for u in new if u.split() == [u]] if len(self.break_id) == 1 else []
-        odd = set(new).difference(plain)
+        """Encode units (with their space) that are not kept yet: those without inner blanks together, parted by line breaks.
+
+        A line break between two words is a token by itself, so a unit of words
+        parted by single breaks is one with its space and others without.
+        """
         self.characters += sum(map(len, new))
-        for at in range(0, len(plain), 256):
-            group = plain[at : at + 256]
-            ids = np.array(self.library.encode(" " + "\n ".join(group), add_special_tokens=False).ids, dtype="<u2")
+        if len(self.break_id) != 1:
+            for unit in new:
+                self.kept[unit] = self.whole(" " + unit)
+            return
+        lines: dict[str, list[str]] = {}
+        plain, odd = [], []
+        for unit in new:
+            words = unit.split()
+            if words == [unit]:
+                plain.append(unit)
+            elif words and unit == "\n".join(words):
+                lines[unit] = words
+            else:
+                odd.append(unit)
+        plain += {w[0] for w in lines.values()}.difference(self.kept, plain)
+        bare = list({w for ws in lines.values() for w in ws[1:]}.difference(self.bare))
+        self._together(plain, " ", self.kept)
+        self._together(bare, "", self.bare)
+        for unit in odd:
+            self.kept[unit] = self.whole(" " + unit)
+        for unit, words in lines.items():
+            self.kept[unit] = self.kept[words[0]] + b"".join([self.break_ids + self.bare[w] for w in words[1:]])
+
+    def _together(self, words: list[str], before: str, into: dict[str, bytes]) -> None:
+        """The ids of words without blanks, each with `before` in front, many at a time."""
+        for at in range(0, len(words), 256):
+            group = words[at : at + 256]
+            ids = np.array(self.ids(before + ("\n" + before).join(group)), dtype="<u2")
             cuts = np.flatnonzero(ids == self.break_id[0])
-            if len(cuts) != len(group) - 1:  # a unit's own ids hold the break's
-                odd.update(group)
+            if len(cuts) != len(group) - 1:  # a word's own ids hold the break's
+                for word in group:
+                    into[word] = self.whole(before + word)
                 continue
             raw, ends = ids.tobytes(), (cuts * 2).tolist()
-            for unit, a, b in zip(group, chain([0], (e + 2 for e in ends)), chain(ends, [len(raw)])):
-                self.kept[unit] = raw[a:b]
-        for unit in odd:
-            self.kept[unit] = self.whole(" " + unit)
+            for word, a, b in zip(group, chain([0], (e + 2 for e in ends)), chain(ends, [len(raw)])):
+                into[word] = raw[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian unsigned 16-bit integers."""
         if len(self.kept) > self.cache_units or self.characters > CACHE_CHARACTERS:
             self.older, self.kept, self.characters = self.kept, {}, 0
+        if len(self.bare) > self.cache_units:
+            self.bare.clear()
         kept, older = self.kept, self.older
-        split: list[tuple[str, list[str]] | None] = []
+        # One look-up a unit: what is missing is filled in when all new units of the texts are encoded.
+        split: list[tuple[str, list[str], list[bytes | None], bool] | None] = []
         stems: dict[str, tuple[str, str]] = {}
         new: set[str] = set()
         for text in texts:
@@ -90,8 +123,12 @@ class UnitEncoder:
                 continue
             units = self.units(text)
             rest = units[1:]
-            split.append((units[0], rest))
-            for unit in [u for u in rest if u not in kept]:
+            found = list(map(kept.get, rest))
+            holes = None in found
+            split.append((units[0], rest, found, holes))
+            if not holes:
+                continue
+            for unit in {u for u, f in zip(rest, found) if f is None}:
                 if unit in new or unit in stems:
                     continue
                 if unit in older:
@@ -110,16 +147,20 @@ class UnitEncoder:
             self._learn(list(new))
         for unit, (stem, tail) in stems.items():
             kept[unit] = kept[stem] + self._tail(tail)
-        get = kept.__getitem__
-        return [(self.whole(text) if text else b"") if units is None else self._tail(units[0]) + b"".join(map(get, units[1])) for text, units in zip(texts, split)]
+        out = []
+        for text, parts in zip(texts, split):
+            if parts is None:
+                out.append(self.whole(text) if text else b"")
+                continue
+            first, rest, found, holes = parts
+            out.append(self._tail(first) + b"".join([kept[u] if f is None else f for u, f in zip(rest, found)] if holes else found))
+        return out
 
     def _tail(self, text: str) -> bytes:
         """The ids of what no space stands before: the punctuation behind a word, a text's first unit."""
         if len(text) > LONGEST_BARE:
             return self.whole(text)
         if text not in self.bare:
-            if len(self.bare) > self.cache_units:
-                self.bare.clear()
             self.bare[text] = self.whole(text) if text else b""
         return self.bare[text]
 
