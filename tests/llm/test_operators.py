@@ -223,7 +223,9 @@ def library_ids(text):
 
 def test_unit_encoder():
     code = token_ids.UnitEncoder(token_ids.vocabulary(), cache_units=50)
-    odd = [t for t in TEXTS if t != LONG] + ["it's we'll 's 't", "<|endoftext|> x", " \t a", "x ", "1.2, 3;x", "'q' e.'", "a  b", "\n\n a", "tab\t b", ".", " . ", "é!? ¿q,"]
+    odd = [t for t in TEXTS if t != LONG] + ["it's we'll 's 't", "<|endoftext|> x", " \t a", "x ", "1.2, 3;x", "'q' e.'", "a  b", "\n\n a", "tab\t b", ".", " . ", "é!? ¿q,", "x a\nb\nc d\n", "q a\n\nb", "q 'a\n'b's\n1.2\n\u00a0z", "k w.\nw w.\nw,\nv", "m a\n b\tc\nd"]
+    r = random.Random(12)
+    odd += ["".join(r.choices(["a", "b's", "\n", " ", "\t", "7", ".", "é", "\u2003", "\r\n", "'", "word"], k=40)) for _ in range(300)]
     for text, raw in zip(odd, code.encode(odd)):
         assert list(np.frombuffer(raw, dtype="<u2")) == library_ids(text), text
 
