@@ -18,13 +18,13 @@ def _asof_sql(left: str, right: str, on: str, carry: str = "b.seq AS r_seq, b.ts
     return f"l AS (SELECT * FROM s WHERE {left}), r AS (SELECT * FROM s WHERE {right}), j AS (SELECT a.*, {carry}, row_number() OVER (PARTITION BY a.seq ORDER BY b.ts_ns DESC, b.seq DESC) AS n FROM l a JOIN r b ON {on} AND b.seq < a.seq AND b.ts_ns <= a.ts_ns)"
 
 
-@query(_asof_sql("op = 'execute' AND k % 2 = 0", "op = 'open' AND hint = 'openw'", "(CASE WHEN a.k % 20 < 10 THEN 100 + a.k % 20 END) = (CASE WHEN b.k % 20 < 10 THEN 100 + b.k % 20 END)")
+@query(_asof_sql("op = 'execute'", "op = 'open' AND hint = 'openw'", "(CASE WHEN a.k % 20 < 10 THEN 100 + a.k % 20 END) = (CASE WHEN b.k % 20 < 10 THEN 100 + b.k % 20 END)")
        + f""", hit AS (SELECT * FROM j WHERE n = 1 AND ts_ns - r_ts <= {DAY}), rest AS (SELECT * FROM l WHERE seq NOT IN (SELECT seq FROM hit)),
  p AS (SELECT a.*, b.seq AS r_seq, b.ts_ns AS r_ts, row_number() OVER (PARTITION BY a.seq ORDER BY b.ts_ns DESC, b.seq DESC) AS n FROM rest a JOIN r b ON '/data/f' || (a.k % 20) = b.path AND b.seq < a.seq)
  SELECT seq, 'file_written_then_executed' AS kind, pid, ts_ns, r_seq AS ref_seq, ts_ns - r_ts AS age_ns FROM (SELECT * FROM hit UNION ALL SELECT * FROM p WHERE n = 1 AND ts_ns - r_ts <= {DAY})""")
 def j7_written_then_executed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = syscalls(spark, sf_dir).selectExpr("seq", "pid", "ts_ns", "op", "hint", "k", "concat('/data/f', k % 20) AS path", "IF(k % 20 < 10, 100 + k % 20, 0) AS inode")
-    return correlate.written_then_executed(rows.where("op = 'execute' AND k % 2 = 0"), rows.where("op = 'open' AND hint = 'openw'"), DAY)
+    return correlate.written_then_executed(rows.where("op = 'execute'"), rows.where("op = 'open' AND hint = 'openw'"), DAY)
 
 
 @query(_asof_sql("op = 'execute'", "op = 'write'", "a.k % 20 = b.k % 20") + f" SELECT seq, 'exec_after_chmod_x' AS kind, pid, ts_ns, r_seq AS ref_seq, ts_ns - r_ts AS age_ns FROM j WHERE n = 1 AND ts_ns - r_ts <= {DAY}")
@@ -135,22 +135,22 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("seq") <= half), rows.where(F.col("seq") > half)
 
 
-@query(_new_sql("'/bin/b' || k", "op = 'execute'", "new_exec", "binary"))
+@query(_new_sql("'/bin/b' || k || '.' || pid", "op = 'execute'", "new_exec", "binary"))
 def j12_new_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt, scored = _split(syscalls(spark, sf_dir).withColumn("item", F.expr("concat('/bin/b', k)")))
+    learnt, scored = _split(syscalls(spark, sf_dir).withColumn("item", F.expr("concat('/bin/b', k, '.', pid)")))
     return baseline.new_items(scored.where("op = 'execute'"), learnt.where("op = 'execute'"), "item", "new_exec", "binary")
 
 
-@query(_new_sql("'10.0.0.' || k", "op = 'connect'", "new_connect_target", "peer"))
+@query(_new_sql("'10.0.0.' || k || ':' || pid", "op = 'connect'", "new_connect_target", "peer"))
 def j12_new_connect_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt, scored = _split(syscalls(spark, sf_dir).withColumn("item", F.expr("concat('10.0.0.', k)")))
+    learnt, scored = _split(syscalls(spark, sf_dir).withColumn("item", F.expr("concat('10.0.0.', k, ':', pid)")))
     return baseline.new_items(scored.where("op = 'connect'"), learnt.where("op = 'connect'"), "item", "new_connect_target", "peer")
 
 
-@query(_new_sql("'/data/g' || k", "op = 'open'", "new_file_path", "path", "AND NOT regexp_matches(item, '^/data/g1[^/]*$') AND NOT regexp_matches(item, '^/data/g[^/]5$')"))
+@query(_new_sql("'/data/g' || k || '.' || pid", "op = 'open'", "new_file_path", "path", "AND NOT regexp_matches(item, '^/data/g1[^/]*$') AND NOT regexp_matches(item, '^/data/g[^/]5[^/]*$')"))
 def j12_new_file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt, scored = _split(syscalls(spark, sf_dir).withColumn("item", F.expr("concat('/data/g', k)")))
-    globs = spark.createDataFrame([("/data/g1*",), ("/data/g?5",)], "item string")
+    learnt, scored = _split(syscalls(spark, sf_dir).withColumn("item", F.expr("concat('/data/g', k, '.', pid)")))
+    globs = spark.createDataFrame([("/data/g1*",), ("/data/g?5*",)], "item string")
     return baseline.new_items(scored.where("op = 'open'"), learnt.where("op = 'open'"), "item", "new_file_path", "path", globs)
 
 
