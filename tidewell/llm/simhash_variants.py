@@ -156,7 +156,143 @@ def keep_firsts(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """
     named = docs.where("doc_id IS NOT NULL")
     prints = stored(fingerprints(named), "fp")
-    heads = _placed(prints, hot_key).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("_id"), F.col("head.content").alias("_content"))
-    own = named.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_content"))
+    return _of_heads(docs, _placed(prints, hot_key).groupBy("root").agg(F.min("head").alias("head")))
+
+
+def _of_heads(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of `docs` with the (doc_id, content) of one of `heads`, one for each, and those without a doc_id."""
+    heads = heads.select(F.col("head.doc_id").alias("_id"), F.col("head.content").alias("_content"))
+    own = docs.where("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_content"))
     kept = own.join(heads, ["_id", "_content"], "left_semi").groupBy("_id", "_content").agg(F.min_by("own", F.to_json("own")).alias("own"))
     return kept.select("own.*").unionByName(docs.where("doc_id IS NULL"))
+
+
+# --- similar texts ------------------------------------------------------------------
+#
+# Two bits of 64 are too strict for texts whose shingles are similar by 0.8: these
+# differ in about ten bits, and segments short enough to be equal then are shared
+# by everything.  So the signature is a row of fingerprints, one for each class of
+# a text's shingles (dealt out by hash, a few shingles each): of two texts with a
+# similarity of 0.8 about four classes in ten hold the same shingles.
+
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+#: Classes of a signature, and shingles in each on the average where a text has enough.
+CLASSES = 24
+CLASS_SHINGLES = 4
+#: Equal classes that make a candidate, of the classes that hold shingles: one in so many.
+EQUAL = 6
+#: Orders in which a class's sets choose the one they meet in: with one, a third text could stand between two similar ones in all classes.
+ORDERS = 6
+
+
+def shingle_set(text: bytes, size: int = SIMILAR_WORDS) -> np.ndarray:
+    """The different hashes of the lower-cased (A-Z) word shingles; of the whole sequence where there are fewer words, none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    line = b" ".join(words)
+    at = [0, *accumulate(len(w) + 1 for w in words)]
+    if len(words) < size:
+        at, size = [at[0], at[-1]], 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(at, at[size:])], dtype=np.uint64))
+
+
+def size_class(n: int) -> int:
+    """Texts whose numbers of shingles differ by a quarter at most are in the same or in neighbouring size classes."""
+    return int(np.floor(np.log(max(n, 1)) / np.log(1 / SIMILARITY) + 1e-9))
+
+
+def signature(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints (64 bits, as signed longs) of the first classes of shingles, 0 for those that are empty; dealt out as texts of that size class are."""
+    n = (1 / SIMILARITY) ** size
+    classes = 1 << int(np.ceil(np.log2(max(n / CLASS_SHINGLES, min(n, CLASSES), 1))))
+    own = ((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (classes - 1)
+    out = np.zeros(CLASSES, dtype=np.int64)
+    used = np.flatnonzero(own < CLASSES)
+    used = used[np.argsort(own[used], kind="stable")]
+    if len(used):
+        owner = own[used]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        bits = np.unpackbits(shingles[used].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        votes = np.add.reduceat(bits, first, axis=0) * 2 > np.diff(first, append=len(used))[:, None]
+        found = np.packbits(votes, axis=1, bitorder="little").view("<i8").reshape(-1)
+        out[owner[first]] = np.where(found == 0, 1, found)
+    return out
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches()
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows = []
+            for text in part.column(1).cast(pa.large_binary()).to_pylist():
+                shingles = shingle_set(text)
+                size = size_class(len(shingles))
+                rows.append((xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63), len(shingles), size, signature(shingles, size).tolist(), signature(shingles, size + 1).tolist()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names=["doc_id", "content", "sid", "n", "size", "low", "high"])
+
+
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                a, b = (part.column(k).cast(pa.large_binary()).to_pylist() for k in (2, 3))
+                known: dict[bytes, np.ndarray] = {}  # a text that many are compared with comes many times in a row
+                good = []
+                for x, y in zip(a, b):
+                    if y not in known:
+                        known = {y: shingle_set(y)}
+                    s, t = shingle_set(x), known[y]
+                    same = len(np.intersect1d(s, t, assume_unique=True))
+                    good.append(same >= similarity * (len(s) + len(t) - same))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(sid, head, root) of each different set of shingles in `docs` (doc_id, text): its smallest (doc_id, content), and the group it is in.
+
+    Texts with equal sets are one.  The sets that share a class's fingerprint
+    meet in its smallest one; those that have enough classes in common with it
+    are verified by the whole similarity of their shingles.  So there are no
+    more pairs than fingerprints, and no group's pairs are all looked at: two
+    texts are found similar if a class they share has one of them, or a third
+    text similar to both, as the one to meet in.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("content", F.xxhash64("text"))
+    signed = stored(rows.mapInArrow(_signed, "doc_id long, content long, sid long, n int, size int, low array<long>, high array<long>"), "signed")
+    sets = signed.groupBy("sid").agg(F.min(F.struct("doc_id", "content")).alias("head"), *(F.first(c).alias(c) for c in ("n", "size", "low", "high")))
+    sets = stored(sets, "sets")
+    both = "explode(array(named_struct('size', size, 'classes', low), named_struct('size', size + 1, 'classes', high))) AS s"
+    seen = sets.where("n > 0").selectExpr("sid", both).selectExpr("sid", "s.size AS size", "posexplode(s.classes) AS (class, print)").where("print <> 0").selectExpr("sid", "xxhash64(size, class, print) AS key", f"named_struct('place', xxhash64(class % {ORDERS}, sid), 'sid', sid) AS own")
+    centres = seen.groupBy("key").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least.sid").alias("centre"))
+    pairs = stored(seen.join(centres, "key").where("sid <> centre").select("sid", "centre").distinct(), "pairs")
+    a = sets.selectExpr("sid", "size AS a_size", "low AS a_low", "high AS a_high")
+    b = sets.selectExpr("sid AS centre", "size AS b_size", "low AS b_low", "high AS b_high")
+    same = lambda x, y: f"size(filter(zip_with({x}, {y}, (p, q) -> p = q AND p <> 0), e -> e)) * {EQUAL} >= greatest(size(filter({x}, p -> p <> 0)), size(filter({y}, p -> p <> 0)))"
+    alike = f"CASE a_size - b_size WHEN 0 THEN {same('a_low', 'b_low')} WHEN 1 THEN {same('a_low', 'b_high')} WHEN -1 THEN {same('a_high', 'b_low')} ELSE false END"
+    likely = stored(pairs.join(a, "sid").join(b, "centre").where(alike).select("sid", "centre"), "likely")
+    wanted = likely.select("sid").union(likely.select("centre")).distinct().join(sets.select("sid", "head.*"), "sid")
+    texts = stored(rows.join(wanted, ["doc_id", "content"]).groupBy("sid").agg(F.first("text").alias("text")), "texts")
+    checked = likely.join(texts.withColumnRenamed("text", "a"), "sid").join(texts.selectExpr("sid AS centre", "text AS b"), "centre").select("sid", "centre", "a", "b")
+    links = checked.mapInArrow(_verified(similarity), "u long, v long").selectExpr("least(u, v) AS u", "greatest(u, v) AS v")
+    roots = components(links)
+    return sets.join(roots, sets.sid == roots.node, "left").select("sid", "head", F.coalesce("root", "sid").alias("root"))
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` that stand for their group of similar texts: one row with the group's smallest doc_id.
+
+    Texts without words are one group.  Ties are as keep_firsts() has them; rows
+    without a doc_id stay as they are.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    heads = similar_groups(named, similarity).groupBy("root").agg(F.min("head").alias("head"))
+    return _of_heads(docs, heads)
