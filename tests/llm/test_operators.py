@@ -149,6 +149,52 @@ def test_simhash_ties(spark):
     assert all(k == kept[0] for k in kept) and [r[0] for r in kept[0]] == [1, 1, None] and (1, b, "w") in kept[0] and {r[1].strip() for r in kept[0]} == {a, b}
 
 
+def edited(text, n, seed):
+    r, words = random.Random(seed), text.split()
+    for _ in range(n):
+        words[r.randrange(len(words))] = r.choice(VOCABULARY) + "x"
+    return " ".join(words)
+
+
+def similar_by_force(rows):
+    """Smallest id of each group of texts that links of similarity 0.8 or more join, over all pairs of shingle sets."""
+    sets = {}
+    for i, t in rows:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    home, left = {}, set(sets)
+    while left:
+        todo, group = [left.pop()], set()
+        while todo:
+            x = todo.pop()
+            group.add(x)
+            near = {y for y in left if sets[x] == sets[y] or (sets[x] and sets[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]))}
+            left -= near
+            todo += near
+        home |= dict.fromkeys(group, min(group))
+    return home
+
+
+def test_similar_texts(spark, docs, empty):
+    """Edited copies at all lengths, a large group of them, a passage that many share, and texts just under the similarity."""
+    rows, passage = [(i, t) for i, t in enumerate(TEXTS)], prose(30, 77)
+    for k, n in enumerate([6, 9, 12, 20, 30, 40, 60, 80, 120, 200, 400, 900, 2000] * 6):
+        text = prose(n, 5000 + k)
+        rows += [(1000 + 10 * k, text), (1001 + 10 * k, edited(text, max(1, n // 60), k)), (1002 + 10 * k, edited(text, max(1, n // 12), k)), (1003 + 10 * k, text.upper() + " !")]
+    base = prose(150, 3)
+    rows += [(3000 + k, edited(base, 1, 900 + k)) for k in range(120)] + [(4000 + k, passage + " " + prose(40, 7000 + k)) for k in range(150)] + [(4500 + k, passage + " " + prose(3, 7000 + k)) for k in range(20)]
+    want = similar_by_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = sorted(r.doc_id for r in simhash_variants.keep_dissimilar(df).collect())
+    assert set(kept) >= set(want.values())  # nothing is dropped that has no similar text
+    assert len(set(kept) - set(want.values())) <= 0.01 * len(set(rows)) and len(set(want.values())) < len(rows) - 200
+    again = simhash_variants.keep_dissimilar(docs)
+    assert again.columns == docs.columns and again.where("doc_id IS NULL").count() == 1
+    home = similar_by_force([(i, t) for i, t in ROWS if i is not None])
+    assert sorted(r.doc_id for r in again.where("doc_id IS NOT NULL").collect()) == sorted(set(home.values()))
+    assert simhash_variants.keep_dissimilar(empty).count() == 0
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_simhash_links(spark, hot):
     r = random.Random(5)
