@@ -208,6 +208,14 @@ def test_simhash_links(spark, hot):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_links_are_not_broadcast(spark, tmp_path):
+    """A small file of fingerprints is 33 times as many rows where they meet: these are dealt out, whatever the file's size says."""
+    spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(str(tmp_path / "fp"))
+    plan = simhash_variants.links(spark.read.parquet(str(tmp_path / "fp")))._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"\w+Join\w* \[key#\d+L?, sub#\d+.*", plan)
+    assert len(joins) == 1 and joins[0].startswith("SortMergeJoin")
+
+
 def test_line_rules(spark, docs, empty):
     got = {}
     for r in line_frequency.line_rules(docs).collect():

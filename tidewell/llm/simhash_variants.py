@@ -81,7 +81,8 @@ def links(prints: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
         """explode(CASE WHEN hot THEN transform(sequence(0, 2), j -> shiftleft(j, 11) | int(shiftrightunsigned(CASE WHEN key < shiftleft(32L, 32) THEN b ELSE a END, 11 * j) & 2047))
            ELSE array(-1) END) AS sub""",
     )
-    pair = dealt.alias("x").join(dealt.alias("y"), F.expr(_PAIR))
+    # 33 rows come of one here, which the planner's estimate of sizes leaves out: without the hint it sends them all to the driver to broadcast them.
+    pair = dealt.alias("x").join(dealt.alias("y").hint("merge"), F.expr(_PAIR))
     return pair.selectExpr("x.fp AS u", "y.fp AS v")
 
 
