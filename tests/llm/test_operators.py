@@ -208,6 +208,24 @@ def test_simhash_links(spark, hot):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_similar_texts_meet_in_variants(spark):
+    """Sets with a similarity of 0.8 share a segment but for one class, and have enough classes in common; of fingerprints that differ in two bits a key is shared whatever the rest holds."""
+    rng, rows = np.random.default_rng(7), []
+    for k, n in enumerate([8, 20, 60, 128, 256, 1024] * 50):
+        u = rng.integers(0, 2**64, size=2 * n, dtype=np.uint64)
+        pair = [np.unique(x) for x in (u[:n], u[n // 9 : n + n // 9])]
+        size = simhash_variants.size_class(n)
+        p, q = (simhash_variants.signature(x, size) for x in pair)
+        assert 6 * ((p == q) & (p != 0)).sum() >= max((p != 0).sum(), (q != 0).sum())
+        rows += [(k, size, int(rng.integers(-(2**63), 2**63)), x.tolist(), [0] * 24) for x in (p, q)]
+    for k in range(1000, 1100):
+        f = int(rng.integers(-(2**62), 2**62))
+        rows += [(k, 5 + 10 * j, f ^ j * (1 << k % 61) ^ j * (1 << k % 41 + 20), rng.integers(1, 2**62, size=24).tolist(), [0] * 24) for j in (0, 1)]
+    found = spark.createDataFrame(rows, "pair int, size int, fp long, low array<long>, high array<long>").selectExpr("pair", f"array_distinct({simhash_variants._keys()}) AS keys")
+    met = found.selectExpr("pair", "explode(keys) AS key").where("key IS NOT NULL").groupBy("pair", "key").count().where("count > 1").select("pair").distinct()
+    assert met.count() == len(rows) // 2
+
+
 def test_simhash_links_are_not_broadcast(spark, tmp_path):
     """A small file of fingerprints is 33 times as many rows where they meet: these are dealt out, whatever the file's size says."""
     spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(str(tmp_path / "fp"))

@@ -42,10 +42,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     if len(words) < size:
         at, size = [at[0], at[-1]], 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a : b - 1], SEED) for a, b in zip(at, at[size:])], dtype="<u8")
+    return voted(np.array([digest(line[a : b - 1], SEED) for a, b in zip(at, at[size:])], dtype="<u8"))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of `hashes`; 0 where there are none."""
     votes = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65536):
-        part = hashes[k : k + 65536]
+        part = hashes[k : k + 65536].astype("<u8", copy=False)
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -64,17 +68,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long, content long")
 
 
+def _variants(a: str, b: str) -> str:
+    """SQL: the 33 keys of a fingerprint with the segments `a` and `b`."""
+    return f"array_append(transform(sequence(0, 31), p -> shiftleft(bigint(p), 32) | ({a} & ~shiftleft(1L, p))), shiftleft(32L, 32) | {b})"
+
+
+_A, _B = "shiftrightunsigned(fp, 32)", "(fp & 4294967295L)"
+
+
 def links(prints: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """Pairs (u, v), u < v, of the distinct values of `prints.fp` that differ in one or two bits."""
     keyed = (
         prints.select("fp")
         .distinct()
-        .selectExpr("fp", "shiftrightunsigned(fp, 32) AS a", "fp & 4294967295L AS b")
-        .selectExpr(
-            "fp", "a", "b",
-            "explode(array_append(transform(sequence(0, 31), p -> shiftleft(bigint(p), 32) | (a & ~shiftleft(1L, p))), shiftleft(32L, 32) | b)) AS key",
-        )
-    )
+        .selectExpr("fp", f"{_A} AS a", f"{_B} AS b")
+        .selectExpr("fp", "a", "b", f"explode({_variants('a', 'b')}) AS key")
+    )
     crowded = keyed.groupBy("key").count().where(F.col("count") > hot_key).select("key", F.lit(True).alias("hot"))
     dealt = keyed.join(crowded, "key", "left").selectExpr(
         "key", "fp", "a", "b",
@@ -170,20 +179,26 @@ def _of_heads(docs: DataFrame, heads: DataFrame) -> DataFrame:
 
 # --- similar texts ------------------------------------------------------------------
 #
-# Two bits of 64 are too strict for texts whose shingles are similar by 0.8: these
-# differ in about ten bits, and segments short enough to be equal then are shared
-# by everything.  So the signature is a row of fingerprints, one for each class of
-# a text's shingles (dealt out by hash, a few shingles each): of two texts with a
-# similarity of 0.8 about four classes in ten hold the same shingles.
+# The same variants, verified by the similarity of the shingles.  Texts whose
+# fingerprints differ in two bits meet as above.  That is too strict for all that
+# are similar by 0.8: these differ in about ten bits, and segments short enough to
+# be equal then are shared by everything.  So there are more fingerprints, one for
+# each class of a text's shingles (dealt out by hash, one or two each), and in
+# their row the same is done with whole fingerprints as above with bits: it is cut
+# into segments, and each is indexed by its variants with one fingerprint masked.
+# Of two texts with a similarity of 0.8 over six classes in ten hold the same
+# shingles, and seven segments in ten are equal but for one class.
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 #: Classes of a signature, and shingles in each on the average where a text has enough.
 CLASSES = 24
-CLASS_SHINGLES = 4
+CLASS_SHINGLES = 2
+#: Fingerprints in a segment of the row.
+SEGMENT = 3
 #: Equal classes that make a candidate, of the classes that hold shingles: one in so many.
 EQUAL = 6
-#: Orders in which a class's sets choose the one they meet in: with one, a third text could stand between two similar ones in all classes.
+#: Orders in which a key's sets choose the one they meet in: with one, a third text could stand between two similar ones under all keys.
 ORDERS = 6
 
 
@@ -225,7 +240,7 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     drop_caches()
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -233,9 +248,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column(1).cast(pa.large_binary()).to_pylist():
                 shingles = shingle_set(text)
                 size = size_class(len(shingles))
-                rows.append((xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63), len(shingles), size, signature(shingles, size).tolist(), signature(shingles, size + 1).tolist()))
+                fp = voted(shingles)
+                rows.append((xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63), len(shingles), size, fp - (fp >> 63 << 64), signature(shingles, size).tolist(), signature(shingles, size + 1).tolist()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names=["doc_id", "content", "sid", "n", "size", "low", "high"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names=["doc_id", "content", "sid", "n", "size", "fp", "low", "high"])
 
 
 def _verified(similarity: float):
@@ -257,28 +273,38 @@ def _verified(similarity: float):
     return run
 
 
+def _keys() -> str:
+    """SQL: the keys under which a set is indexed: its fingerprint's variants, and those of its row's segments as texts of its size class and of the next are dealt out."""
+    mask = lambda m: f"k - k % {SEGMENT} + (k + {m}) % {SEGMENT}"
+    left = [f"r.classes[{mask(m)}]" for m in range(1, SEGMENT)]
+    row = f"transform(sequence(0, {CLASSES - 1}), k -> CASE WHEN {' OR '.join(f'{x} <> 0' for x in left)} THEN xxhash64(r.size, k, {', '.join(left)}) END)"
+    rows = f"transform(array(named_struct('size', size, 'classes', low), named_struct('size', size + 1, 'classes', high)), r -> {row})"
+    bits = f"transform({_variants(_A, _B)}, v -> xxhash64(v))"
+    return f"flatten(array_append({rows}, {bits}))"
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(sid, head, root) of each different set of shingles in `docs` (doc_id, text): its smallest (doc_id, content), and the group it is in.
 
-    Texts with equal sets are one.  The sets that share a class's fingerprint
-    meet in its smallest one; those that have enough classes in common with it
-    are verified by the whole similarity of their shingles.  So there are no
-    more pairs than fingerprints, and no group's pairs are all looked at: two
-    texts are found similar if a class they share has one of them, or a third
-    text similar to both, as the one to meet in.
+    Texts with equal sets are one.  The sets that share a variant, of their
+    fingerprint or of a segment of the row, meet in its smallest one; those that
+    differ from it in two bits at most, or have enough classes in common with
+    it, are verified by the whole similarity of their shingles.  So there are no
+    more pairs than variants, and no group's pairs are all looked at: two texts
+    are found similar if a variant they share has one of them, or a third text
+    similar to both, as the one to meet in.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("content", F.xxhash64("text"))
-    signed = stored(rows.mapInArrow(_signed, "doc_id long, content long, sid long, n int, size int, low array<long>, high array<long>"), "signed")
-    sets = signed.groupBy("sid").agg(F.min(F.struct("doc_id", "content")).alias("head"), *(F.first(c).alias(c) for c in ("n", "size", "low", "high")))
+    signed = stored(rows.mapInArrow(_signed, "doc_id long, content long, sid long, n int, size int, fp long, low array<long>, high array<long>"), "signed")
+    sets = signed.groupBy("sid").agg(F.min(F.struct("doc_id", "content")).alias("head"), *(F.first(c).alias(c) for c in ("n", "size", "fp", "low", "high")))
     sets = stored(sets, "sets")
-    both = "explode(array(named_struct('size', size, 'classes', low), named_struct('size', size + 1, 'classes', high))) AS s"
-    seen = sets.where("n > 0").selectExpr("sid", both).selectExpr("sid", "s.size AS size", "posexplode(s.classes) AS (class, print)").where("print <> 0").selectExpr("sid", "xxhash64(size, class, print) AS key", f"named_struct('place', xxhash64(class % {ORDERS}, sid), 'sid', sid) AS own")
+    seen = sets.where("n > 0").selectExpr("sid", f"posexplode({_keys()}) AS (k, key)").where("key IS NOT NULL").selectExpr("sid", "key", f"named_struct('place', xxhash64(k % {ORDERS}, sid), 'sid', sid) AS own")
     centres = seen.groupBy("key").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least.sid").alias("centre"))
-    pairs = stored(seen.join(centres, "key").where("sid <> centre").select("sid", "centre").distinct(), "pairs")
-    a = sets.selectExpr("sid", "size AS a_size", "low AS a_low", "high AS a_high")
-    b = sets.selectExpr("sid AS centre", "size AS b_size", "low AS b_low", "high AS b_high")
+    pairs = stored(seen.join(centres.hint("merge"), "key").where("sid <> centre").select("sid", "centre").distinct(), "pairs")
+    a = sets.selectExpr("sid", "size AS a_size", "fp AS a_fp", "low AS a_low", "high AS a_high")
+    b = sets.selectExpr("sid AS centre", "size AS b_size", "fp AS b_fp", "low AS b_low", "high AS b_high")
     same = lambda x, y: f"size(filter(zip_with({x}, {y}, (p, q) -> p = q AND p <> 0), e -> e)) * {EQUAL} >= greatest(size(filter({x}, p -> p <> 0)), size(filter({y}, p -> p <> 0)))"
-    alike = f"CASE a_size - b_size WHEN 0 THEN {same('a_low', 'b_low')} WHEN 1 THEN {same('a_low', 'b_high')} WHEN -1 THEN {same('a_high', 'b_low')} ELSE false END"
+    alike = f"bit_count(a_fp ^ b_fp) <= 2 OR CASE a_size - b_size WHEN 0 THEN {same('a_low', 'b_low')} WHEN 1 THEN {same('a_low', 'b_high')} WHEN -1 THEN {same('a_high', 'b_low')} ELSE false END"
     likely = stored(pairs.join(a, "sid").join(b, "centre").where(alike).select("sid", "centre"), "likely")
     wanted = likely.select("sid").union(likely.select("centre")).distinct().join(sets.select("sid", "head.*"), "sid")
     texts = stored(rows.join(wanted, ["doc_id", "content"]).groupBy("sid").agg(F.first("text").alias("text")), "texts")
