@@ -226,6 +226,12 @@ def test_similar_texts_meet_in_variants(spark):
     assert met.count() == len(rows) // 2
 
 
+def test_texts_meet_their_terms_alike_at_every_size(spark, docs):
+    """However few texts have terms, these come to the texts by the join that large tables need."""
+    plan = disclosure.personal_data(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert re.findall(r"(\w+Join) \[row#", plan) == ["SortMergeJoin"]
+
+
 def test_simhash_links_are_not_broadcast(spark, tmp_path):
     """A small file of fingerprints is 33 times as many rows where they meet: these are dealt out, whatever the file's size says."""
     spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(str(tmp_path / "fp"))

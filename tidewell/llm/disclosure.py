@@ -140,7 +140,8 @@ def personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_
     hits = words.select("row", F.explode("words").alias("term")).join(shown, "term").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "kind"))).alias("hits"))  # a text's own terms
     hits = stored(hits.select("row", F.col("hits.term").alias("terms"), F.col("hits.kind").alias("kinds")), "hits")
     base = "transform(spans, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
-    out = rows.join(hits, "row", "left").withColumn("found", F.expr(f"CASE WHEN terms IS NULL THEN {base} ELSE sort_array(concat({base}, {_term_spans()})) END"))
+    # Merged at every size: the hits grow with the texts, and are too many to broadcast on a large table.
+    out = rows.join(hits.hint("merge"), "row", "left").withColumn("found", F.expr(f"CASE WHEN terms IS NULL THEN {base} ELSE sort_array(concat({base}, {_term_spans()})) END"))
     return out.select(*(F.when(~F.col("blank"), F.col("text")).alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in carry), F.col("found").alias("spans"))
 
 
