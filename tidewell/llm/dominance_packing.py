@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import drop_caches, stored, text_of
 from .token_ids import encoder, vocabulary
 
 CAPACITY = 2048
@@ -173,6 +173,7 @@ def _places(plan: list[tuple[int, int, int, int, int]]):
     keys = (rows[:, 0] << 48) | rows[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()  # batches of ids are large, and no unit is encoded any more
         for batch in batches:
             names = batch.schema.names
             rank, length = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("rank", "length"))
