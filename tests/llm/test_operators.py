@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -308,6 +309,26 @@ def test_unit_encoder():
         assert list(np.frombuffer(raw, dtype="<u2")) == library_ids(text), text
 
 
+def test_unit_encoder_cuts_batches(monkeypatch):
+    """Equal words of a batch go to the library once, whatever punctuation and line breaks follow; cuts never part what the library joins."""
+    code = token_ids.UnitEncoder(token_ids.vocabulary())
+    given = []
+    monkeypatch.setattr(code, "ids", lambda text, ids=code.ids: given.append(text) or ids(text))
+    texts = [f"x {a}{b} zorbled{c} zorbled\nzorbled" for a in ("flimmer", "gnastle") for b in ",.;" for c in ("!", "?", ".'")]
+    assert [list(np.frombuffer(raw, dtype="<u2")) for raw in code.encode(texts)] == [library_ids(t) for t in texts]
+    assert "".join(given).count("zorbled") == 2 and "".join(given).count("flimmer") == 1  # with and without a space in front
+    monkeypatch.setattr(token_ids, "_SEGMENT", 16)
+    monkeypatch.setattr(token_ids, "TOGETHER", 2000)
+    r = random.Random(14)
+    parts = [*"ab'sZ7.,{@ßžж×÷\u0482\u4e2d\u00a0\u0085\u3000\u2028\u0663\u00b2\0\x1c\x7f\U0001f600", "e\u0301", "'ll", "\r\n", *["\n", " "] * 6, "\t", "<|endoftext|>"]
+    odd = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(3000)]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array([None, "of another slice", None, "", *odd], kind).slice(2)
+        for text, raw in zip([None, "", *odd], code.encode(column), strict=True):
+            assert list(np.frombuffer(raw, dtype="<u2")) == library_ids(text), text
+    assert list(code.encode([])) == [] and list(code.encode([None])) == [b""]
+
+
 def test_huffman_ids(docs, empty):
     blocks, code = huffman_ids.write_ids(docs, stride=16, block_ids=200)
     got = [tuple(r) for r in huffman_ids.read_ids(blocks, code, stride=16).select("doc_id", "start", "n_tokens", "ids_crc32", "ids").collect()]

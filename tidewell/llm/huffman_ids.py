@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +126,10 @@ def _tokens(path: str, end_id: int):
         code, part, place = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
+            found = code.encode(batch.column(1))
             for k in range(0, batch.num_rows, 512):
                 doc_ids = batch.column(0).slice(k, 512)
-                ids = [raw + end for raw in code.encode(batch.column(1).slice(k, 512).to_pylist())]
+                ids = [raw + end for raw in islice(found, 512)]
                 ends = np.cumsum([len(raw) // 2 for raw in ids]) + place
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(ids), pa.int32()), pa.array(np.concatenate([[place], ends[:-1]]).astype(np.int64)), doc_ids, pa.array(ids, pa.binary())],
