@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -387,6 +388,25 @@ def test_packing(docs, empty):
     assert dominance_packing.pack(empty).count() == 0
 
 
+def test_packing_encodes_batches_whole(monkeypatch):
+    """A batch goes to the encoder in one piece, so that its equal words are found together."""
+    code, given = token_ids.UnitEncoder(token_ids.vocabulary()), []
+    monkeypatch.setattr(code, "encode", lambda texts, encode=code.encode: given.append(len(texts)) or encode(texts))
+    monkeypatch.setattr(dominance_packing, "encoder", lambda path: code)
+    monkeypatch.setattr(dominance_packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    texts = [(f"word{k % 7}, other " * (k % 40)).strip() if k % 5 else None for k in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    pieces = [r for b in dominance_packing._pieces("", 0, 50, False)(iter([batch, batch.slice(0, 0), batch.slice(1000)])) for r in b.to_pylist()]
+    assert given == [1200, 0, 200]
+    found = {}
+    for r in pieces:
+        found.setdefault(r["item"], []).append(r)
+    assert [i - (3 << 33) for i in found] == list(range(1400))
+    for k, rows in zip([*range(1200), *range(1000, 1200)], found.values()):
+        assert {r["doc_id"] for r in rows} == {k} and [r["piece"] for r in rows] == list(range(len(rows)))
+        assert np.frombuffer(b"".join(r["ids"] for r in rows), dtype="<u2").tolist() == library_ids(texts[k]) + [0]
+
+
 def test_reduction_packs_as_few_as_known():
     assert dominance_packing.reduce_and_fit({}, 10) == ([], 0)
     for counts, capacity, want in (({6: 3, 4: 3}, 10, 3), ({10: 2, 1: 5}, 10, 3), ({7: 2, 3: 1, 2: 2}, 10, 3), ({5: 4}, 10, 2), ({4: 5}, 10, 3), ({3: 10}, 10, 4)):

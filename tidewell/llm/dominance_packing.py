@@ -47,10 +47,10 @@ def _pieces(path: str, end_id: int, capacity: int, special: bool):
         item = part << 33
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
+            found = code.encode(batch.column(1))
             for at in range(0, batch.num_rows, 512):
-                doc_ids, texts = (batch.column(k).slice(at, 512).to_pylist() for k in (0, 1))
                 rows: list[tuple] = []
-                for doc_id, raw in zip(doc_ids, code.encode(texts)):
+                for doc_id, raw in zip(batch.column(0).slice(at, 512).to_pylist(), found):
                     ids = np.frombuffer(raw + end, dtype="<u2")
                     for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + length]
